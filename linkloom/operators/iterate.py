@@ -267,9 +267,9 @@ def shortest_paths(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
     Forward paths win; the reverse direction is searched only for pairs without one. Of equally
     short paths the first in vertex order is kept. A start whose targets are all found stops.
     """
-    wanted = wanted.select("from", "to").where("from <> to").distinct()
+    wanted = materialize(wanted.select("from", "to").where("from <> to").distinct(), "wanted")
     forward = _paths(pairs, wanted).withColumn("direction", F.lit("forward"))
-    missing = wanted.join(forward, ["from", "to"], "left_anti")
+    missing = materialize(wanted.join(forward, ["from", "to"], "left_anti"), "wanted")
     backward = _paths(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), missing) \
         .withColumn("direction", F.lit("reverse"))
     return forward.unionByName(backward)
@@ -280,22 +280,17 @@ def _paths(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
     frontier = materialize(
         wanted.select("from").distinct()
               .select("from", F.col("from").alias("vid"), F.array("from").alias("path")), "paths")
-    open_pairs = wanted
-    seen, found = [frontier.select("from", "vid")], []
-    while True:
-        grown = (frontier.join(arcs, "vid")
+    rounds, n = [frontier], 1
+    while n:
+        reached = union_all(rounds).select("from", F.col("vid").alias("to"))
+        still = wanted.join(reached, ["from", "to"], "left_anti").select("from").distinct()
+        grown = (frontier.join(still, "from", "left_semi").join(arcs, "vid")
                  .groupBy("from", F.col("next").alias("vid"))
                  .agg(F.min(F.concat("path", F.array("next"))).alias("path")))
-        fresh, n = write_table(grown.join(union_all(seen), ["from", "vid"], "left_anti"), "paths")
-        hit = materialize(open_pairs.join(fresh.withColumnRenamed("vid", "to"), ["from", "to"]), "hits")
-        found.append(hit.select("from", "to", "path"))
-        if n == 0:
-            return union_all(found)
-        open_pairs, n = write_table(open_pairs.join(hit, ["from", "to"], "left_anti"), "open")
-        if n == 0:
-            return union_all(found)
-        seen.append(fresh.select("from", "vid"))
-        frontier = fresh.join(open_pairs.select("from").distinct(), "from", "left_semi")
+        frontier, n = write_table(
+            grown.join(reached.withColumnRenamed("to", "vid"), ["from", "vid"], "left_anti"), "paths")
+        rounds.append(frontier)
+    return wanted.join(union_all(rounds).withColumnRenamed("vid", "to"), ["from", "to"])
 
 
 # --- layers and trees ----------------------------------------------------------------------
