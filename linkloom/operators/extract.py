@@ -15,6 +15,7 @@ from linkloom.functions.languages import (
     EXTENSIONS, ScanOptions, extension_language, handler_language, include_excluded, skipped_path, wanted,
 )
 from linkloom.functions import paths
+from linkloom.store import spread
 
 # Multi-line anchors, only \n ends a line, Unicode character classes.
 _M = "(?mdU)"
@@ -160,7 +161,8 @@ def extract_imports(scanned: DataFrame, languages: Iterable[str]) -> DataFrame:
         found = F.when(test, value) if found is None else found.when(test, value)
     if found is None:
         found = F.array().cast("array<struct<kind:string,raw:string>>")
-    return (scanned.select("repo", F.col("path").alias("src"), "lang", F.posexplode(found).alias("ord", "i"))
+    return (spread(scanned.select("repo", "path", "lang", "content"))
+            .select("repo", F.col("path").alias("src"), "lang", F.posexplode(found).alias("ord", "i"))
             .select("repo", "src", "lang", "i.kind", "i.raw", "ord"))
 
 

@@ -26,20 +26,23 @@ class Graph:
         return self.arcs.select("src", "dst")
 
 
-def graph_from_edges(edges: DataFrame, nodes: DataFrame | None = None, number: bool = True) -> Graph:
+def graph_from_edges(edges: DataFrame, nodes: DataFrame | None = None) -> Graph:
     """Build a graph from an edge bag ``(repo, source, target)`` and optional ``(repo, id)``.
 
     Repeated edges are folded into ``copies`` before anything is shuffled by end point.
-    ``number=False`` expects columns that are numbered already.
     """
-    folded = edges.groupBy("repo", "source", "target").agg(F.count(F.lit(1)).alias("copies"))
-    ends = folded.select("repo", F.explode(F.array("source", "target")).alias("id"))
+    return graph_from_arcs(edges.groupBy("repo", "source", "target").agg(F.count(F.lit(1)).alias("copies")), nodes)
+
+
+def graph_from_arcs(arcs: DataFrame, nodes: DataFrame | None = None) -> Graph:
+    """Build a graph from distinct ``(repo, source, target, copies)``."""
+    arcs = materialize(arcs.select("repo", "source", "target", "copies"), "folded")
+    ends = arcs.select("repo", F.explode(F.array("source", "target")).alias("id"))
     if nodes is not None:
         ends = ends.unionByName(nodes.select("repo", "id"))
     vertices = materialize(
-        ends.distinct().orderBy("repo", "id").withColumn("vid", F.monotonically_increasing_id()),
-        "vertices")
-    return Graph(vertices, materialize(number_arcs(folded, vertices), "arcs"))
+        ends.distinct().orderBy("repo", "id").withColumn("vid", F.monotonically_increasing_id()), "vertices")
+    return Graph(vertices, materialize(number_arcs(arcs, vertices), "arcs"))
 
 
 def number_arcs(arcs: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.functions.scalars import RISK_ORDER, round_half_up, risk_rank
+from linkloom.functions.scalars import RISK_ORDER, risk_rank, round_half_up, search_score
+from linkloom.operators.predicates import search
 from linkloom.operators.ranking import top_per_group
 from linkloom.store import attach
 
@@ -159,7 +160,5 @@ def top_story_nodes(nodes: DataFrame, n: int = 5) -> DataFrame:
 
 
 def quick_jump(nodes: DataFrame, needle: str, n: int = 15) -> DataFrame:
-    from linkloom.functions.scalars import search_score
-    from linkloom.operators.predicates import search
     return (search(nodes, needle).select("repo", "id", search_score(F.col("id"), needle).alias("score"), "in_degree")
             .orderBy(F.desc("score"), F.desc("in_degree"), F.asc("id")).limit(n))

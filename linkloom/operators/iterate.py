@@ -1,8 +1,9 @@
 """Iterative graph operators over arcs ``(src, dst)``.
 
 Every loop has the same shape: a join of the frontier with the arcs, a set difference against
-what is known, and one written table per round (``store.materialize``). The driver only reads
-row counts to decide when to stop.
+what is known, and one written table per round (``store.Rounds``). The driver only reads row
+counts to decide when to stop. Arcs are joined on a vertex, and a vertex may hold a third of
+them, so these joins salt hot vertices (``store.balanced_join``).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.ranking import top_per_group
-from linkloom.store import materialize, write_table
+from linkloom.store import Rounds, attach, balanced_join, hot_keys, materialize, write_table
 
 
 def union_all(tables: list[DataFrame]) -> DataFrame:
@@ -37,25 +38,30 @@ def peel(pairs: DataFrame) -> Peel:
     A vertex that is still a source after ``k`` rounds has a chain of more than ``k`` arcs
     below it. Arcs that survive all rounds lead to a cycle.
     """
-    current, left = pairs, pairs.count()
-    first = left
-    sources = []
-    k = 0
+    rounds = Rounds("peel")
+    left = pairs.count()
+    hot = hot_keys(pairs, ["dst"], left)
+    current, k = pairs.select("src", "dst", F.lit(1).alias("k")), 1
     while left:
         live = current.select(F.col("src").alias("dst")).distinct()
-        following, n = write_table(current.join(live, "dst", "left_semi").select("src", "dst"), "peel")
+        k += 1
+        following, n = rounds.add(balanced_join(current.select("src", "dst"), live, ["dst"], "left_semi", hot)
+                                  .select("src", "dst", F.lit(k).alias("k")))
         if n == left:
+            k -= 1
+            rounds.paths.pop()
             break
-        k += 1
-        sources.append(current.select(F.col("src").alias("vid")).distinct().withColumn("level", F.lit(k)))
         current, left = following, n
-    if sources:
-        top = union_all(sources).groupBy("vid").agg(F.max("level").alias("level"))
-        if left:
-            top = top.join(current.select(F.col("src").alias("vid")).distinct(), "vid", "left_anti")
+    first = pairs.select(F.col("src").alias("vid"), F.lit(1).alias("level"))
+    seen = first.unionByName(rounds.all().select(F.col("src").alias("vid"), F.col("k").alias("level"))) \
+        if rounds.paths else first
+    top = seen.groupBy("vid").agg(F.max("level").alias("level"))
+    leftover = current.select("src", "dst")
+    if left:
+        top = top.join(leftover.select(F.col("src").alias("vid")).distinct(), "vid", "left_anti")
     else:
-        top = pairs.select(F.col("src").alias("vid"), F.lit(0).alias("level")).where("false")
-    return Peel(top, current if first else pairs, k, left == 0)
+        leftover = leftover.where("false")
+    return Peel(top, leftover, k - 1, left == 0)
 
 
 # --- strongly connected components ---------------------------------------------------------
@@ -72,8 +78,7 @@ def components(pairs: DataFrame, start: DataFrame | None = None) -> DataFrame |
     rest, n = _trim(rest)
     found: list[DataFrame] = []
     while n:
-        colour = _colours(rest)
-        members = _members(rest, colour)
+        members = _members(rest, _colours(rest, n), n)
         found.append(members)
         solved = members.select("vid")
         rest = (rest.join(solved, rest.src == solved.vid, "left_anti")
@@ -84,66 +89,64 @@ def components(pairs: DataFrame, start: DataFrame | None = None) -> DataFrame |
 
 def _trim(pairs: DataFrame) -> tuple[DataFrame, int]:
     """Drop arcs until every source has an arc in and every target an arc out."""
-    current, left = pairs, pairs.count()
+    current, left = pairs, -1
     while left:
         heads = current.select(F.col("dst").alias("src")).distinct()
         tails = current.select(F.col("src").alias("dst")).distinct()
-        following, n = write_table(
-            current.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"),
-            "trim")
+        current, n = write_table(
+            current.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"), "trim")
         if n == left:
-            return following, n
-        current, left = following, n
-    return current, 0
+            break
+        left = n
+    return current, left
 
 
-def _colours(pairs: DataFrame) -> DataFrame:
+def _colours(pairs: DataFrame, rows: int) -> DataFrame:
     """vid, colour: the smallest vertex with a path to ``vid`` (itself included)."""
+    hot = hot_keys(pairs, ["src"], rows)
     best = materialize(
         pairs.select(F.col("dst").alias("vid"), F.least("src", "dst").alias("colour"))
              .unionByName(pairs.select(F.col("src").alias("vid"), F.col("src").alias("colour")))
              .groupBy("vid").agg(F.min("colour").alias("colour")), "colour")
-    changed = best
-    moved = 1
+    changed, moved = best, 1
     while moved:
-        offered = (pairs.join(changed.select(F.col("vid").alias("src"), "colour"), "src")
-                        .groupBy(F.col("dst").alias("vid")).agg(F.min("colour").alias("offer")))
-        following = materialize(
+        offered = (balanced_join(pairs, changed.select(F.col("vid").alias("src"), "colour"), ["src"], "inner", hot)
+                   .groupBy(F.col("dst").alias("vid")).agg(F.min("colour").alias("offer")))
+        following, moved = Rounds("colour").add(
             best.join(offered, "vid", "left")
                 .select("vid", F.least("colour", "offer").alias("colour"),
-                        (F.coalesce(F.col("offer") < F.col("colour"), F.lit(False))).alias("moved")),
-            "colour")
+                        F.coalesce(F.col("offer") < F.col("colour"), F.lit(False)).alias("moved")), "moved")
         best = following.select("vid", "colour")
         changed = following.where("moved").select("vid", "colour")
-        moved = changed.count()
     return best
 
 
-def _members(pairs: DataFrame, colour: DataFrame) -> DataFrame:
+def _members(pairs: DataFrame, colour: DataFrame, rows: int) -> DataFrame:
     """Vertices from which the vertex naming their colour can be reached inside the colour."""
-    inside = materialize(
-        pairs.join(colour.select(F.col("vid").alias("src"), F.col("colour").alias("comp")), "src")
-             .join(colour.select(F.col("vid").alias("dst"), F.col("colour").alias("comp")), ["dst", "comp"])
-             .select("src", "dst", "comp"), "inside")
-    frontier = inside.where("dst = comp").select(F.col("comp").alias("vid"), "comp").distinct()
-    known = [frontier]
-    while True:
-        reached = (inside.join(frontier.select(F.col("vid").alias("dst"), "comp"), ["dst", "comp"])
-                         .select(F.col("src").alias("vid"), "comp").distinct())
-        fresh, n = write_table(reached.join(union_all(known), ["vid", "comp"], "left_anti"), "members")
-        if n == 0:
-            return union_all(known)
-        known.append(fresh)
-        frontier = fresh
+    s = colour.select(F.col("vid").alias("src"), F.col("colour").alias("comp"))
+    d = colour.select(F.col("vid").alias("dst"), F.col("colour").alias("comp"))
+    with_source = balanced_join(pairs, s, ["src"], "inner", hot_keys(pairs, ["src"], rows))
+    inside, n = write_table(balanced_join(with_source, d, ["dst", "comp"], "inner", None)
+                            .select("src", "dst", "comp"), "inside")
+    hot = hot_keys(inside, ["dst", "comp"], n)
+    known = Rounds("members")
+    frontier, n = known.add(inside.where("dst = comp").select(F.col("comp").alias("vid"), "comp").distinct())
+    while n:
+        step = frontier.select(F.col("vid").alias("dst"), "comp")
+        reached = (balanced_join(inside, step, ["dst", "comp"], "inner", hot)
+                   .select(F.col("src").alias("vid"), "comp").distinct())
+        frontier, n = known.add(reached.join(known.all(), ["vid", "comp"], "left_anti"))
+    return known.all()
 
 
 def component_arcs(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
     """Arcs with the component of each end: src, dst, cs, cd (a vertex alone is its own)."""
     if comps is None:
         return pairs.select("src", "dst", F.col("src").alias("cs"), F.col("dst").alias("cd"))
+    rows = comps.count()
     s = comps.select(F.col("vid").alias("src"), F.col("comp").alias("_s"))
     d = comps.select(F.col("vid").alias("dst"), F.col("comp").alias("_d"))
-    return (pairs.join(s, "src", "left").join(d, "dst", "left")
+    return (attach(attach(pairs, s, ["src"], "left", rows), d, ["dst"], "left", rows)
                  .select("src", "dst", F.coalesce("_s", "src").alias("cs"),
                          F.coalesce("_d", "dst").alias("cd")))
 
@@ -169,34 +172,22 @@ def closure(pairs: DataFrame) -> Closure:
     arc show that this arc has a detour; they are kept as ``bypassed``, so reduction of an
     acyclic graph needs no further join.
     """
-    base = materialize(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-                            .withColumn("dist", F.lit(1)), "reach")
-    arcs = base.select("a", F.col("b").alias("m"))
-    known, detours = [base], []
-    delta, dist = base, 1
-    while True:
+    rounds = Rounds("reach")
+    delta, fresh = rounds.add(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+                              .select("a", "b", F.lit(1).alias("dist"), F.lit(True).alias("fresh")), "fresh")
+    arcs = delta.select("a", F.col("b").alias("m"))
+    hot = hot_keys(arcs, ["m"], fresh)
+    dist = 1
+    while fresh:
         dist += 1
-        longer = (arcs.join(delta.select(F.col("a").alias("m"), "b"), "m")
-                      .select("a", "b").distinct())
-        seen = union_all(known).select("a", "b", F.col("dist").alias("before"))
-        step = materialize(longer.join(seen, ["a", "b"], "left")
-                                 .where("before is null or before = 1")
-                                 .select("a", "b", F.col("before").isNull().alias("fresh")), "reach")
-        delta = step.where("fresh").select("a", "b", F.lit(dist).alias("dist"))
-        detours.append(step.where("not fresh").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        if delta.count() == 0:
-            return Closure(union_all(known), union_all(detours).distinct())
-        known.append(delta)
-
-
-def expand_members(pairs: DataFrame, comps: DataFrame | None, first: str, second: str) -> DataFrame:
-    """Turn pairs of components into pairs of their member vertices."""
-    if comps is None:
-        return pairs
-    for col in (first, second):
-        m = comps.select(F.col("comp").alias(col), F.col("vid").alias("_v"))
-        pairs = pairs.join(m, col, "left").withColumn(col, F.coalesce("_v", col)).drop("_v")
-    return pairs
+        newest = delta.where("fresh").select(F.col("a").alias("m"), "b")
+        longer = balanced_join(arcs, newest, ["m"], "inner", hot).select("a", "b").distinct()
+        seen = rounds.all().where("fresh").select("a", "b", F.col("dist").alias("before"))
+        delta, fresh = rounds.add(
+            longer.join(seen, ["a", "b"], "left").where("before is null or before = 1")
+                  .select("a", "b", F.lit(dist).alias("dist"), F.col("before").isNull().alias("fresh")), "fresh")
+    return Closure(rounds.all().where("fresh").select("a", "b", "dist"),
+                   rounds.all().where("not fresh").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
 
 
 # --- reduction -----------------------------------------------------------------------------
@@ -240,25 +231,22 @@ def reach_from(pairs: DataFrame, seeds: DataFrame, max_dist: int | None = None,
     """
     arcs = pairs.select(F.col("dst").alias("vid"), F.col("src").alias("next")) if reverse \
         else pairs.select(F.col("src").alias("vid"), F.col("dst").alias("next"))
+    hot = hot_keys(arcs, ["vid"], pairs.count())
     if "vid" not in seeds.columns:
         seeds = seeds.withColumn("vid", F.col("seed"))
-    frontier = materialize(
-        seeds.select("seed", "vid").distinct()
-             .select("seed", "vid", F.lit(0).alias("dist"), F.lit(None).cast("bigint").alias("parent")), "search")
-    known = [frontier]
+    known = Rounds("search")
+    frontier, n = known.add(seeds.select("seed", "vid").distinct().select(
+        "seed", "vid", F.lit(0).alias("dist"), F.lit(None).cast("bigint").alias("parent")))
     dist = 0
-    while max_dist is None or dist < max_dist:
+    while n and (max_dist is None or dist < max_dist):
         dist += 1
-        step = (arcs.join(frontier.select("seed", "vid"), "vid")
-                    .groupBy("seed", F.col("next").alias("vid")).agg(F.min(arcs.vid).alias("parent")))
-        fresh, n = write_table(
-            step.join(union_all(known).select("seed", "vid"), ["seed", "vid"], "left_anti")
-                .select("seed", "vid", F.lit(dist).alias("dist"), "parent"), "search")
-        if n == 0:
-            break
-        known.append(fresh)
-        frontier = fresh
-    return union_all(known)
+        step = (balanced_join(arcs, frontier.select("seed", "vid"), ["vid"], "inner", hot)
+                .groupBy("seed", F.col("next").alias("to")).agg(F.min("vid").alias("parent"))
+                .withColumnRenamed("to", "vid"))
+        frontier, n = known.add(
+            step.join(known.all().select("seed", "vid"), ["seed", "vid"], "left_anti")
+                .select("seed", "vid", F.lit(dist).alias("dist"), "parent"))
+    return known.all()
 
 
 def shortest_paths(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -277,20 +265,20 @@ def shortest_paths(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _paths(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
     arcs = pairs.select(F.col("src").alias("vid"), F.col("dst").alias("next"))
-    frontier = materialize(
-        wanted.select("from").distinct()
-              .select("from", F.col("from").alias("vid"), F.array("from").alias("path")), "paths")
-    rounds, n = [frontier], 1
+    hot = hot_keys(arcs, ["vid"], pairs.count())
+    rounds = Rounds("paths")
+    frontier, n = rounds.add(wanted.select("from").distinct().select(
+        "from", F.col("from").alias("vid"), F.array("from").alias("path")))
     while n:
-        reached = union_all(rounds).select("from", F.col("vid").alias("to"))
+        reached = rounds.all().select("from", F.col("vid").alias("to"))
         still = wanted.join(reached, ["from", "to"], "left_anti").select("from").distinct()
-        grown = (frontier.join(still, "from", "left_semi").join(arcs, "vid")
-                 .groupBy("from", F.col("next").alias("vid"))
-                 .agg(F.min(F.concat("path", F.array("next"))).alias("path")))
-        frontier, n = write_table(
-            grown.join(reached.withColumnRenamed("to", "vid"), ["from", "vid"], "left_anti"), "paths")
-        rounds.append(frontier)
-    return wanted.join(union_all(rounds).withColumnRenamed("vid", "to"), ["from", "to"])
+        grown = (balanced_join(arcs, frontier.join(still, "from", "left_semi"), ["vid"], "inner", hot)
+                 .groupBy("from", "next").agg(F.min(F.concat("path", F.array("next"))).alias("path")))
+        frontier, n = rounds.add(
+            grown.withColumnRenamed("next", "vid")
+                 .join(reached.withColumnRenamed("to", "vid"), ["from", "vid"], "left_anti")
+                 .select("from", "vid", "path"))
+    return wanted.join(rounds.all().withColumnRenamed("vid", "to"), ["from", "to"])
 
 
 # --- layers and trees ----------------------------------------------------------------------
@@ -298,14 +286,15 @@ def _paths(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
 def topological_layers(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
     """vid, layer: 0 imports nothing; a vertex follows once all its targets are placed.
 
-    What never gets placed (cycles and everything above them) shares one last layer.
+    What never gets placed (cycles and everything above them) shares one last layer of its repo.
     """
     peeled = peel(pairs)
-    placed = vertices.select("vid").join(peeled.levels, "vid", "left")
     stuck = peeled.leftover.select(F.col("src").alias("vid")).distinct().withColumn("stuck", F.lit(True))
-    last = peeled.rounds + (1 if not peeled.acyclic else 0)
-    return (placed.join(stuck, "vid", "left")
-            .select("vid", F.when(F.col("stuck"), F.lit(last)).otherwise(F.coalesce("level", F.lit(0)))
+    placed = (vertices.select("repo", "vid").join(peeled.levels, "vid", "left").join(stuck, "vid", "left")
+              .select("repo", "vid", "stuck", F.coalesce("level", F.lit(0)).alias("level")))
+    last = placed.where("stuck is null").groupBy("repo").agg((F.max("level") + 1).alias("last"))
+    return (attach(placed, last, ["repo"])
+            .select("vid", F.when(F.col("stuck"), F.coalesce("last", F.lit(0))).otherwise(F.col("level"))
                     .cast("bigint").alias("layer")))
 
 

@@ -127,19 +127,21 @@ def display_edges(arcs: DataFrame, comps: DataFrame | None, nodes: DataFrame, me
     """Edges with cycle flag and weight; with a directory filter only edges between kept nodes."""
     if filtered:
         kept = nodes.select("vid")
-        arcs = (arcs.join(kept, arcs.src == kept.vid, "left_semi")
-                    .join(kept, arcs.dst == kept.vid, "left_semi"))
+        rows = kept.count()
+        arcs = attach(attach(arcs, kept.withColumnRenamed("vid", "src"), ["src"], "left_semi", rows),
+                      kept.withColumnRenamed("vid", "dst"), ["dst"], "left_semi", rows)
     facts = metrics.select(F.col("vid").alias("dst"), F.col("in_degree").alias("_in")) \
         .join(nodes.select(F.col("vid").alias("dst"), F.col("reach_pct").alias("_reach")), "dst", "left")
-    out = arcs.join(facts, "dst", "left")
+    out = attach(arcs, facts, ["dst"], "left", metrics.count())
     top = metrics.groupBy("repo").agg(F.max("in_degree").alias("_max"))
     out = attach(out, top, ["repo"], "inner")
     weight = scalars.edge_weight(F.coalesce("_in", F.lit(0)), F.col("_max"), F.coalesce("_reach", F.lit(0.0)))
     if comps is None:
         cyclic = F.col("src") == F.col("dst")
     else:
-        out = (out.join(comps.select(F.col("vid").alias("src"), F.col("comp").alias("_s")), "src", "left")
-                  .join(comps.select(F.col("vid").alias("dst"), F.col("comp").alias("_d")), "dst", "left"))
+        rows = comps.count()
+        out = attach(out, comps.select(F.col("vid").alias("src"), F.col("comp").alias("_s")), ["src"], "left", rows)
+        out = attach(out, comps.select(F.col("vid").alias("dst"), F.col("comp").alias("_d")), ["dst"], "left", rows)
         cyclic = F.coalesce((F.col("src") == F.col("dst")) | (F.col("_s") == F.col("_d")), F.lit(False))
     return out.select("repo", "source", "target", "src", "dst", "copies", cyclic.alias("is_cycle"),
                       weight.alias("weight"))

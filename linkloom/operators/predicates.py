@@ -5,10 +5,11 @@ from __future__ import annotations
 import operator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.scalars import pattern_predicate
+from linkloom.store import attach
 
 _METRICS = {"inbound": "in_degree", "outbound": "out_degree", "depth": "depth", "impact": "impact",
             "stability": "stability"}
@@ -54,10 +55,10 @@ def hide_status(nodes: DataFrame, edges: DataFrame, hidden: list[str]) -> tuple[
     """Diff rows without the hidden statuses; an edge goes with either of its ends."""
     kept = nodes.where(~F.col("diff").isin(hidden))
     ids = kept.select("repo", "id")
-    shown = (edges.where(~F.col("diff").isin(hidden))
-             .join(ids.withColumnRenamed("id", "source"), ["repo", "source"], "left_semi")
-             .join(ids.withColumnRenamed("id", "target"), ["repo", "target"], "left_semi"))
-    return kept, shown
+    rows = ids.count()
+    shown = attach(edges.where(~F.col("diff").isin(hidden)), ids.withColumnRenamed("id", "source"), ["repo", "source"],
+                   "left_semi", rows)
+    return kept, attach(shown, ids.withColumnRenamed("id", "target"), ["repo", "target"], "left_semi", rows)
 
 
 def share_of_max(df: DataFrame, value: str, group: list[str]) -> DataFrame:
@@ -65,11 +66,7 @@ def share_of_max(df: DataFrame, value: str, group: list[str]) -> DataFrame:
 
     The maximum is aggregated on the map side and joined back, so no group has to fit a task.
     """
-    from linkloom.store import attach
     top = df.groupBy(*group).agg(F.max(value).alias("_top"))
     return attach(df, top, group, "inner").withColumn(
         "share", F.when(F.col("_top") > 0, F.col(value) / F.col("_top")).otherwise(F.lit(0.0))).drop("_top")
 
-
-__all__ = ["metric", "matching", "under", "where", "in_cycles", "search", "search_groups", "hide_status",
-           "share_of_max", "Window"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.paths import layer_of
 from linkloom.functions.scalars import rank_name
 from linkloom.operators.ranking import top_per_group
+from linkloom.store import attach
 
 
 def layer_violations(edges: DataFrame, layers: list[str]) -> DataFrame:
@@ -37,7 +38,9 @@ def rank_violations(edges: DataFrame, ranked: DataFrame, layers: list[str] | Non
     """Edges from a higher to a lower effective rank, with the rank names."""
     s = ranked.select(F.col("vid").alias("src"), F.col("rank").alias("source_rank"))
     t = ranked.select(F.col("vid").alias("dst"), F.col("rank").alias("target_rank"))
-    return (edges.join(s, "src").join(t, "dst").where("source_rank > target_rank")
+    rows = ranked.count()
+    both = attach(attach(edges, s, ["src"], "inner", rows), t, ["dst"], "inner", rows)
+    return (both.where("source_rank > target_rank")
             .select("repo", "source", "target", "copies", "source_rank", "target_rank",
                     rank_name(F.col("source_rank"), layers).alias("source_name"),
                     rank_name(F.col("target_rank"), layers).alias("target_name")))

@@ -7,9 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.functions import paths
 from linkloom.operators import compare
-from linkloom.operators.graph import Graph, graph_from_edges
+from linkloom.operators.graph import Graph, graph_from_arcs
 from linkloom.operators.iterate import closure, condense, reach_from, union_all
 from linkloom.operators.metrics import cycle_members, impact
 from linkloom.operators.ranking import top_per_group
@@ -31,11 +30,13 @@ def remove(nodes: DataFrame, edges: DataFrame, gone_nodes: DataFrame | None = No
     kept_nodes, left, broken = nodes.select("repo", "id"), edges, []
     if gone_nodes is not None:
         gone = gone_nodes.select("repo", "id").distinct()
+        rows = gone.count()
         kept_nodes = kept_nodes.join(gone, ["repo", "id"], "left_anti")
-        left = left.join(gone.withColumnRenamed("id", "source"), ["repo", "source"], "left_anti")
+        left = attach(left, gone.withColumnRenamed("id", "source"), ["repo", "source"], "left_anti", rows)
         targets = gone.withColumnRenamed("id", "target")
-        broken.append(left.join(targets, ["repo", "target"], "left_semi").withColumn("reason", F.lit("target_removed")))
-        left = left.join(targets, ["repo", "target"], "left_anti")
+        broken.append(attach(left, targets, ["repo", "target"], "left_semi", rows)
+                      .withColumn("reason", F.lit("target_removed")))
+        left = attach(left, targets, ["repo", "target"], "left_anti", rows)
     if gone_edges is not None:
         keys = ["repo", "source", "target"]
         cut = gone_edges.select(*keys).distinct()
@@ -128,9 +129,10 @@ def split(nodes: DataFrame, edges: DataFrame, parts: DataFrame, part_edges: Data
     gone = valid.withColumnRenamed("node", "id")
     kept = (nodes.select("repo", "id").join(gone, ["repo", "id"], "left_anti")
             .unionByName(parts.select("repo", F.col("part").alias("id"))).distinct())
-    rest = (edges.select("repo", "source", "target").distinct()
-            .join(gone.withColumnRenamed("id", "source"), ["repo", "source"], "left_anti")
-            .join(gone.withColumnRenamed("id", "target"), ["repo", "target"], "left_anti"))
+    rows = gone.count()
+    rest = attach(edges.select("repo", "source", "target").distinct(), gone.withColumnRenamed("id", "source"),
+                  ["repo", "source"], "left_anti", rows)
+    rest = attach(rest, gone.withColumnRenamed("id", "target"), ["repo", "target"], "left_anti", rows)
     new = (part_edges.join(valid, ["repo", "node"], "left_semi")
            .join(kept.withColumnRenamed("id", "other"), ["repo", "other"], "left_semi")
            .where("other <> part"))
@@ -144,8 +146,9 @@ def split(nodes: DataFrame, edges: DataFrame, parts: DataFrame, part_edges: Data
 def _broken(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     s = nodes.withColumnRenamed("id", "source").withColumn("_s", F.lit(True))
     t = nodes.withColumnRenamed("id", "target").withColumn("_t", F.lit(True))
-    return (edges.join(s, ["repo", "source"], "left").join(t, ["repo", "target"], "left")
-            .where("_s is null or _t is null")
+    rows = nodes.count()
+    ends = attach(attach(edges, s, ["repo", "source"], "left", rows), t, ["repo", "target"], "left", rows)
+    return (ends.where("_s is null or _t is null")
             .select("repo", F.col("source").alias("file"), F.col("target").alias("missing_dep"),
                     F.when(F.col("_s").isNull(), F.lit("source_removed")).otherwise(F.lit("target_removed"))
                     .alias("reason"), "copies"))
@@ -155,7 +158,7 @@ def newly_orphaned(old_edges: DataFrame, change: Change) -> DataFrame:
     """Nodes of the changed graph that were imported before and no longer are."""
     had = old_edges.select("repo", F.col("target").alias("id")).distinct()
     ends = change.nodes.withColumnRenamed("id", "source")
-    has = (change.edges.join(ends, ["repo", "source"], "left_semi")
+    has = (attach(change.edges, ends, ["repo", "source"], "left_semi")
            .select("repo", F.col("target").alias("id")).distinct())
     return change.nodes.join(had, ["repo", "id"], "left_semi").join(has, ["repo", "id"], "left_anti")
 
@@ -172,10 +175,10 @@ def recount(nodes: DataFrame, edges: DataFrame) -> Recount:
     """Cycles and impact of a graph as it stands, without reduction."""
     from linkloom.plans.build import find_components
     ends = nodes.select("repo", "id")
-    inner = (edges.join(ends.withColumnRenamed("id", "source"), ["repo", "source"], "left_semi")
-             .join(ends.withColumnRenamed("id", "target"), ["repo", "target"], "left_semi"))
-    bag = inner.select("repo", "source", "target", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
-    g = graph_from_edges(bag.select("repo", "source", "target"), ends)
+    rows = ends.count()
+    inner = attach(edges, ends.withColumnRenamed("id", "source"), ["repo", "source"], "left_semi", rows)
+    inner = attach(inner, ends.withColumnRenamed("id", "target"), ["repo", "target"], "left_semi", rows)
+    g = graph_from_arcs(inner, ends)
     peeled, comps = find_components(g.pairs)
     shut = closure(g.pairs if peeled.acyclic else condense(g.pairs, comps))
     table = (g.vertices.join(impact(shut.reach, comps), "vid", "left")
@@ -221,4 +224,4 @@ def statistics(old_nodes: DataFrame, old_edges: DataFrame, change: Change, old_c
 
 
 __all__ = ["Change", "Recount", "remove", "merge", "merge_targets", "propose_split", "split", "newly_orphaned",
-           "recount", "impact_changes", "unreachable", "statistics", "paths"]
+           "recount", "impact_changes", "unreachable", "statistics"]

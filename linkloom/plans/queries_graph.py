@@ -13,6 +13,7 @@ from linkloom.plans import oracle as O
 from linkloom.plans import views as V
 from linkloom.plans.build import reduce_graph
 from linkloom.plans.catalog import query
+from linkloom.store import attach
 
 NODE_COLUMNS = ["id", "in_degree", "out_degree", "depth", "impact", "in_cycle", "dir", "stability", "size",
                 "reach_pct", "risk"]
@@ -331,5 +332,6 @@ JOIN lay s ON s.id = e.source JOIN lay t ON t.id = e.target GROUP BY ALL"""))
         arcs = V.graph_of(spark, sf, view).arcs
         s = lay.select(F.col("vid").alias("src"), F.col("layer").alias("ls"))
         t = lay.select(F.col("vid").alias("dst"), F.col("layer").alias("lt"))
-        return arcs.join(s, "src").join(t, "dst") \
+        rows = lay.count()
+        return attach(attach(arcs, s, ["src"], "inner", rows), t, ["dst"], "inner", rows) \
             .select("source", "target", F.greatest("ls", "lt").alias("layer"), "copies")

@@ -18,9 +18,19 @@ from linkloom.streaming.refresh import GraphRefresh
 from linkloom.streaming.sessions import burst_stream, bursts, sliding_counts, sliding_limit
 
 
+def _instant(df):
+    """The table stores UTC wall time; as an instant it does not depend on the session's zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return df.withColumn("ts", F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("ts"))))
+
+
+def _events(spark, sf):
+    return _instant(V.table(spark, sf, "events"))
+
+
 def _stream(spark, sf):
     schema = V.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return _instant(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
 
 
 def _run(spark, df, mode="append"):
@@ -50,7 +60,7 @@ def _days(df):
 
 @query("windowed_churn", "ST1", O.sql(_WINDOWS, "SELECT * FROM g"))
 def windowed(spark, sf):
-    return _days(windowed_churn(_touches(V.table(spark, sf, "events")), "7 days", "1 day"))
+    return _days(windowed_churn(_touches(_events(spark, sf)), "7 days", "1 day"))
 
 
 @query("windowed_churn_stream", "ST1", O.sql(_WINDOWS, """
@@ -75,7 +85,7 @@ def _burst_times(df):
 @query("bursts", "ST3", O.sql(_BURSTS, "SELECT * FROM b"))
 def bursts_batch(spark, sf):
     """Changes within two hours of each other trigger once, two hours after the last."""
-    return _burst_times(bursts(V.table(spark, sf, "events"), "user_id", "ts", 7200))
+    return _burst_times(bursts(_events(spark, sf), "user_id", "ts", 7200))
 
 
 @query("bursts_stream", "ST3", O.sql(_BURSTS, """
@@ -87,7 +97,7 @@ def bursts_streamed(spark, sf):
 @query("sliding_counts", "ST4", """
 SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)::BIGINT AS in_window FROM events""")
 def sliding_counts_batch(spark, sf):
-    return sliding_counts(V.table(spark, sf, "events"), "user_id", "ts", 86400).select("event_id", "in_window")
+    return sliding_counts(_events(spark, sf), "user_id", "ts", 86400).select("event_id", "in_window")
 
 
 # Acceptance as a walk over the events of a user, in order: the state is the list of accepted times.
@@ -104,7 +114,7 @@ a(user_id, rn, event_id, accepted, held) AS (
 
 @query("sliding_limit", "ST4", O.sql(_LIMIT, "SELECT event_id, accepted FROM a"))
 def sliding_limit_batch(spark, sf):
-    return sliding_limit(V.table(spark, sf, "events"), "user_id", "ts", "event_id", 3, 86400).select("event_id", "accepted")
+    return sliding_limit(_events(spark, sf), "user_id", "ts", "event_id", 3, 86400).select("event_id", "accepted")
 
 
 @query("sliding_limit_stream", "ST4", O.sql(_LIMIT, "SELECT event_id, accepted FROM a"))
@@ -139,9 +149,9 @@ def _refresh(spark, sf):
         whole = T.files_of(spark, sf, "py")
         heads = whole.withColumn("content", F.substring_index("content", "\n", 1))
         store = GraphRefresh(spark, f"{root}/graph", ScanOptions.single("py", hide_external=True))
-        stream = spark.readStream.schema("repo string, path string, content string, changed_at int").parquet(f"{root}/in")
         for i, step in enumerate((heads, whole)):
             step.withColumn("changed_at", F.lit(i)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+            stream = spark.readStream.schema("repo string, path string, content string, changed_at int").parquet(f"{root}/in")
             # Each run picks up what arrived since the last one, from the stream's own checkpoint.
             stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{root}/state") \
                 .trigger(availableNow=True).start().awaitTermination()

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import paths
+from linkloom.store import attach, materialize
 
 _ENTRY = "repo string, path string, content string, unsafe boolean"
 
@@ -47,7 +48,7 @@ def archive_files(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
     One entry that is a link or leaves its folder rejects its whole archive. Hidden and desktop
     files are left out.
     """
-    entries = archives.select("repo", "content").mapInPandas(_unzip, _ENTRY)
+    entries = materialize(archives.select("repo", "content").mapInPandas(_unzip, _ENTRY), "entries")
     bad = entries.where("unsafe").select("repo", "path")
     name = paths.basename("path")
     kept = entries.where(~name.startswith(".") & ~name.isin("Thumbs.db", "desktop.ini"))
@@ -65,7 +66,6 @@ def strip_wrapper(files: DataFrame, ignore_noise: bool = False) -> DataFrame:
         judged = files.where(~top.startswith(".") & ~top.isin("__MACOSX", "__pycache__"))
     tops = judged.groupBy("repo").agg(F.min(top).alias("_lo"), F.max(top).alias("_hi"),
                                       F.bool_and(F.contains(F.col("path"), F.lit("/"))).alias("_deep"))
-    from linkloom.store import attach
     wrapped = attach(files, tops, ["repo"], "left")
     inside = (F.col("_lo") == F.col("_hi")) & F.col("_deep") & (top == F.col("_lo"))
     cut = F.when(inside, F.substring(F.col("path"), F.length(top) + 2, F.length("path"))).otherwise(F.col("path"))

@@ -1,4 +1,4 @@
-"""Intermediate tables.
+"""Intermediate tables, and joins that stay balanced.
 
 Loops cut their lineage by writing each round as a parquet table below the cluster's
 checkpoint folder and reading it back. A written table survives the loss of any executor,
@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 # Rows a side may have before it is no longer broadcast (see ``attach``).
 BROADCAST_ROWS = 200_000
-SALTS = 16
+# Rows of one join key that a single task should take at most; a key with more is salted.
+HOT_ROWS = 5_000_000
+# Plan size per core below which CPU-heavy scans are spread over all cores (see ``spread``).
+SMALL_PER_CORE = 32 * 1024 * 1024
 
 _local_roots: dict[str, str] = {}
 
@@ -37,40 +40,120 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def _new_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_root(spark)}/tables/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def _write(df: DataFrame, path: str, also: str | None) -> tuple[int, int]:
+    seen = Observation()
+    extra = F.count_if(F.col(also)) if also else F.count(F.lit(1))
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), extra.alias("also")).write.parquet(path)
+    return seen.get["rows"], seen.get["also"]
+
+
 def write_table(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     """Write ``df`` as a table; return the reader over it and its row count.
 
     The count is observed in the writing stage itself, so a loop needs no second job per round.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tables/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+    path = _new_path(df.sparkSession, label)
+    rows, _ = _write(df, path, None)
+    return df.sparkSession.read.schema(df.schema).parquet(path), rows
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     return write_table(df, label)[0]
 
 
-def is_empty(df: DataFrame) -> bool:
-    return df.limit(1).count() == 0
+class Rounds:
+    """The tables of a loop: written one by one, read one by one or all as a single scan."""
+
+    def __init__(self, label: str):
+        self.label, self.paths = label, []
+
+    def add(self, df: DataFrame, also: str | None = None) -> tuple[DataFrame, int]:
+        """Write a round. The count is that of all rows, or of those where column ``also`` is true."""
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.paths.append(_new_path(self.spark, self.label))
+        rows, marked = _write(df, self.paths[-1], also)
+        return self.spark.read.schema(self.schema).parquet(self.paths[-1]), marked if also else rows
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for CPU-heavy work on a small input.
+
+    Parquet splits are sized for reading. Where the whole input is smaller than a split per
+    core, it would end in a few tasks; then, and only then, it is shuffled round robin.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * SMALL_PER_CORE else df
+
+
+# --- balanced joins ------------------------------------------------------------------------
 
+class HotKeys:
+    """Join keys of a table that hold more than ``HOT_ROWS`` rows, with a number of salts each."""
 
-def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left",
-           rows: int | None = None) -> DataFrame:
-    """Join facts that are unique per key onto a table that may be skewed on that key.
+    def __init__(self, table: DataFrame, on: list[str]):
+        counted = (table.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS)
+                   .select(*on, F.ceil(F.col("_n") / HOT_ROWS).alias("_salts")))
+        self.on = on
+        self.keys, self.count = write_table(counted, "hot")
+
+    def _marked(self, df: DataFrame) -> DataFrame:
+        # At most one key per HOT_ROWS rows of the table, so the list is small; checked all the same.
+        keys = F.broadcast(self.keys) if self.count <= BROADCAST_ROWS else self.keys
+        return df.join(keys, self.on, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+
+    def salted(self, df: DataFrame) -> DataFrame:
+        """Rows of a hot key dealt out over its salts by a hash of the row."""
+        row = [F.col(c) for c in df.columns]
+        return self._marked(df).withColumn("_salt", F.pmod(F.xxhash64(*row), F.col("_salts"))).drop("_salts")
+
+    def copied(self, df: DataFrame) -> DataFrame:
+        """Rows of a hot key once per salt."""
+        salts = F.sequence(F.lit(0).cast("bigint"), F.col("_salts").cast("bigint") - 1)
+        return self._marked(df).withColumn("_salt", F.explode(salts)).drop("_salts")
+
+
+def hot_keys(table: DataFrame, on: list[str], rows: int | None = None) -> HotKeys | None:
+    """Hot keys of a stored table; None without a job when the table itself is small."""
+    if rows is None:
+        rows = table.limit(HOT_ROWS + 1).count()
+    if rows <= HOT_ROWS:
+        return None
+    hot = HotKeys(table, on)
+    return hot if hot.count else None
+
+
+def balanced_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
+                  hot: HotKeys | None = None) -> DataFrame:
+    """Join in which the hot keys of ``big`` are spread over several tasks.
+
+    Every row of ``big`` meets every row of ``small`` with its key, once: the result is that of
+    the plain join. ``how`` may be inner, left, left_semi or left_anti.
+    """
+    if hot is None:
+        return big.join(small, on, how)
+    return hot.salted(big).join(hot.copied(small), [*on, "_salt"], how).drop("_salt")
+
+
+def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", rows: int | None = None) -> DataFrame:
+    """Join facts by key onto a table that may be skewed on that key.
 
     ``small`` is counted first (or ``rows`` tells its size). Within ``BROADCAST_ROWS`` it is
-    broadcast, so the big side does not move. Beyond that both sides are salted: the big side
-    by a hash of its row, the small side copied once per salt, so a key that holds a third of
-    all rows is spread over ``SALTS`` tasks.
+    broadcast, so the big side does not move; beyond that both are shuffled, hot keys salted.
     """
     if rows is None:
         rows = small.limit(BROADCAST_ROWS + 1).count()
     if rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS)))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                            F.lit(SALTS - 1).cast("bigint"))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return balanced_join(big, small, on, how, hot_keys(big.select(*on), on))
+
+
+__all__ = ["BROADCAST_ROWS", "HOT_ROWS", "HotKeys", "Rounds", "attach", "balanced_join", "hot_keys",
+           "materialize", "scratch_root", "spread", "write_table"]

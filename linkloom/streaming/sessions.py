@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from linkloom.store import attach
 
@@ -70,7 +71,7 @@ def sliding_limit(events: DataFrame, key: str, ts: str, order: str, limit: int,
     cut = with_sessions(events, key, ts, window_seconds).withColumn("_us", micros(F.col(ts)))
     placed = cut.repartition(key, "session").sortWithinPartitions(key, "session", "_us", order)
     window = int(window_seconds * 1e6)
-    schema = placed.schema.add("accepted", "boolean")
+    schema = StructType([*placed.schema.fields, StructField("accepted", BooleanType())])
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, held = None, deque()
