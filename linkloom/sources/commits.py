@@ -29,6 +29,7 @@ def parse_commits(records: DataFrame) -> DataFrame:
     return (records.select(
         "repo", F.get(head, F.lit(1)).alias("author"),
         F.try_to_timestamp(F.trim(F.get(head, F.lit(2)))).alias("ts"),
-        F.explode(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), F.trim)).alias("path"))
+        F.explode(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))),
+                              lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))).alias("path"))
         .where("path <> '' and ts is not null and author <> ''")
         .select("repo", "path", "author", "ts"))
