@@ -78,7 +78,12 @@ def components(pairs: DataFrame, start: DataFrame | None = None) -> DataFrame |
     rest, n = _trim(rest)
     found: list[DataFrame] = []
     while n:
-        members = _members(rest, _colours(rest, n), n)
+        colour, vertices = _colours(rest, n)
+        if n == vertices:
+            # One arc in and one out for every vertex: the colours are the cycles themselves.
+            found.append(colour.select("vid", F.col("colour").alias("comp")))
+            break
+        members = _members(rest, colour, n)
         found.append(members)
         solved = members.select("vid")
         rest = (rest.join(solved, rest.src == solved.vid, "left_anti")
@@ -101,10 +106,10 @@ def _trim(pairs: DataFrame) -> tuple[DataFrame, int]:
     return current, left
 
 
-def _colours(pairs: DataFrame, rows: int) -> DataFrame:
-    """vid, colour: the smallest vertex with a path to ``vid`` (itself included)."""
+def _colours(pairs: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """vid, colour: the smallest vertex with a path to ``vid`` (itself included); and how many vertices."""
     hot = hot_keys(pairs, ["src"], rows)
-    best = materialize(
+    best, vertices = write_table(
         pairs.select(F.col("dst").alias("vid"), F.least("src", "dst").alias("colour"))
              .unionByName(pairs.select(F.col("src").alias("vid"), F.col("src").alias("colour")))
              .groupBy("vid").agg(F.min("colour").alias("colour")), "colour")
@@ -118,7 +123,7 @@ def _colours(pairs: DataFrame, rows: int) -> DataFrame:
                         F.coalesce(F.col("offer") < F.col("colour"), F.lit(False)).alias("moved")), "moved")
         best = following.select("vid", "colour")
         changed = following.where("moved").select("vid", "colour")
-    return best
+    return best, vertices
 
 
 def _members(pairs: DataFrame, colour: DataFrame, rows: int) -> DataFrame:

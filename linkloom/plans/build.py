@@ -73,11 +73,8 @@ def reduce_graph(graph: Graph, mode: str | None = "exact"):
     return Graph(graph.vertices, arcs), peeled, comps, shut
 
 
-def depths(peeled, pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """vid, depth: longest chain of outgoing arcs, arcs inside a component counting nothing."""
-    if peeled.acyclic:
-        return peeled.levels.withColumnRenamed("level", "depth")
-    levels = peel(condense(pairs, comps)).levels
+def member_levels(levels: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """vid, depth from the levels of the component graph: members share that of their component."""
     if comps is None:
         return levels.withColumnRenamed("level", "depth")
     inner = comps.join(levels.withColumnRenamed("vid", "comp"), "comp").select("vid", "level")
@@ -89,16 +86,21 @@ def build(graph: Graph, reduce: str | None = "exact", hide_isolated: bool = Fals
           filter_dir: str = "") -> Build:
     reduced, peeled, comps, shut = reduce_graph(graph, reduce)
     pairs = reduced.pairs
-    if not peeled.acyclic and reduce is not None:
-        # Reduction may open cycles, so everything after it is found again.
-        peeled, comps = find_components(pairs)
+    if reduce == "exact" and comps is not None:
+        # The exact rule may open cycles. What remains of them lies inside the old components.
+        inside = component_arcs(pairs, comps).where("cs = cd").select("src", "dst")
+        comps = components(pairs, materialize(inside, "inside"))
+        comps = None if comps is None else materialize(comps, "components")
         shut = None
-    # On an acyclic graph reduction keeps reachability and longest chains: both are reused.
+    # On an acyclic graph, and between whole components, reduction keeps reachability and
+    # longest chains: both are reused.
+    dag = pairs if peeled.acyclic else materialize(condense(pairs, comps), "condensed")
     if shut is None:
-        shut = closure(pairs if peeled.acyclic else condense(pairs, comps))
+        shut = closure(dag)
+    levels = peeled.levels if peeled.acyclic else peel(dag).levels
     table = materialize(
-        M.node_metrics(reduced.vertices, reduced.arcs, M.impact(shut.reach, comps),
-                       depths(peeled, pairs, comps), comps), "metrics")
+        M.node_metrics(reduced.vertices, reduced.arcs, M.impact(shut.reach, comps), member_levels(levels, comps), comps),
+        "metrics")
     out = Build(graph, reduced, comps, shut.reach, table, table, table)
     return display(out, hide_isolated, filter_dir)
 
@@ -111,4 +113,4 @@ def display(b: Build, hide_isolated: bool = False, filter_dir: str = "") -> Buil
     return Build(b.graph, b.reduced, b.comps, b.reach, b.metrics, nodes, edges, hide_isolated, filter_dir)
 
 
-__all__ = ["Build", "build", "display", "reduce_graph", "find_components", "depths", "component_arcs"]
+__all__ = ["Build", "build", "display", "reduce_graph", "find_components"]

@@ -182,7 +182,10 @@ def file_line_counts(spark, sf):
 # --- archives ------------------------------------------------------------------------------
 
 def _zip_up(group: pd.DataFrame) -> pd.DataFrame:
-    """Test input: one conversation as an archive with a wrapper folder and the usual litter."""
+    """Test input: one conversation as an archive with a wrapper folder and the usual litter.
+
+    Long conversations get an entry that leaves the folder.
+    """
     out = io.BytesIO()
     conv = int(group["conv_id"].iloc[0])
     with zipfile.ZipFile(out, "w") as z:
@@ -191,7 +194,7 @@ def _zip_up(group: pd.DataFrame) -> pd.DataFrame:
         z.writestr("wrap/img/Thumbs.db", "x")
         for turn, text in zip(group["turn"], group["text"]):
             z.writestr(f"wrap/turns/t{turn}.txt", text)
-        if conv % 10 == 3:
+        if len(group) >= 7:
             z.writestr("../escape.txt", "x")
     return pd.DataFrame({"repo": [f"conv{conv}"], "content": [out.getvalue()]})
 
@@ -202,14 +205,15 @@ def archives(spark, sf):
 
 
 @query("archive_entries", "S3 S4", """
-SELECT 'conv' || conv_id AS repo, 'turns/t' || turn || '.txt' AS path, text AS content FROM conversations WHERE conv_id % 10 <> 3""")
+SELECT 'conv' || conv_id AS repo, 'turns/t' || turn || '.txt' AS path, text AS content FROM conversations
+WHERE conv_id NOT IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) >= 7)""")
 def archive_entries(spark, sf):
     """Archives with an entry that leaves its folder are rejected whole."""
     return strip_wrapper(archive_files(archives(spark, sf))[0])
 
 
 @query("archive_rejected", "S3", """
-SELECT DISTINCT 'conv' || conv_id AS repo, '../escape.txt' AS path FROM conversations WHERE conv_id % 10 = 3""")
+SELECT 'conv' || conv_id AS repo, '../escape.txt' AS path FROM conversations GROUP BY conv_id HAVING count(*) >= 7""")
 def archive_rejected(spark, sf):
     return archive_files(archives(spark, sf))[1]
 
