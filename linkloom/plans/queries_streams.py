@@ -33,12 +33,30 @@ def _stream(spark, sf):
     return _instant(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
 
 
-def _run(spark, df, mode="append"):
-    """Run a stream over what is there, into a parquet table."""
+_ROCKS = {"spark.sql.streaming.stateStore.providerClass":
+          "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def _run(spark, df, conf=None):
+    """Run a stream over what is there, into a parquet table.
+
+    A stream's state partitions are fixed when it starts and AQE does not merge them, so this
+    run takes one per core. Settings are put back afterwards.
+    """
     root = f"{scratch_root(spark)}/streams/{uuid.uuid4().hex}"
-    q = (df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
-         .format("parquet").start(f"{root}/out"))
-    q.awaitTermination()
+    wanted = {"spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism), **(conf or {})}
+    held = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        (df.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+         .format("parquet").start(f"{root}/out").awaitTermination())
+    finally:
+        for k, v in held.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
@@ -119,16 +137,7 @@ def sliding_limit_batch(spark, sf):
 
 @query("sliding_limit_stream", "ST4", O.sql(_LIMIT, "SELECT event_id, accepted FROM a"))
 def sliding_limit_streamed(spark, sf):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    held = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        return _run(spark, limit_stream(_stream(spark, sf), "user_id", "ts", 3, 86400)).select("event_id", "accepted")
-    finally:
-        if held is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, held)
+    return _run(spark, limit_stream(_stream(spark, sf), "user_id", "ts", 3, 86400), _ROCKS).select("event_id", "accepted")
 
 
 @query("refresh_edges", "ST2", T.edges_sql("py"))

@@ -1,4 +1,7 @@
-"""Narrative report and insight export."""
+"""Narrative report and insight export.
+
+Fixed values: the titles and the wording of the sentences, which readers of the report know.
+"""
 
 from __future__ import annotations
 

@@ -15,7 +15,7 @@ EDGE_SCHEMA = "source string, target string, copies bigint, is_cycle boolean, we
 LINE_SCHEMA = f"repo string, section string, node struct<{NODE_SCHEMA.replace(' ', ':').replace(',:', ',')}>, " \
               f"edge struct<{EDGE_SCHEMA.replace(' ', ':').replace(',:', ',')}>"
 
-# The reference form: {"nodes": [{"data": {...}}], "edges": [{"data": {...}, "classes": "cycle"}]}
+# One document: {"nodes": [{"data": {...}}], "edges": [{"data": {...}, "classes": "cycle"}]}
 DOCUMENT_SCHEMA = (
     "nodes array<struct<data: struct<id: string, in_degree: bigint, out_degree: bigint, depth: bigint, impact: bigint,"
     " stability: double, size: bigint, reach_pct: double, in_cycle: boolean, language: string, risk: string,"
