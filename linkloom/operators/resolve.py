@@ -19,7 +19,7 @@ from linkloom.functions.languages import (
 )
 from linkloom.operators.extract import CS_NAMESPACE, PHP_NAMESPACE, extract_imports, find_all, scan_files
 from linkloom.operators.iterate import union_all
-from linkloom.store import attach, materialize
+from linkloom.store import BROADCAST_ROWS, attach, materialize, write_table
 
 
 def raw() -> Column:
@@ -381,12 +381,17 @@ def resolve_imports(imports: DataFrame, scanned: DataFrame, files: DataFrame, op
              .withColumn("src", F.when(F.col("dir") == "", F.lit("x")).otherwise(_cat(F.col("dir"), "/x"))))
     probes = asked.select("repo", "lang", "kind", "raw", "dir",
                           F.posexplode(_case(chosen, lambda p: p.ladder)).alias("pos", "key"))
-    table = materialize(lookup_table(scanned, langs), "lookup")
+    table, offers = write_table(lookup_table(scanned, langs), "lookup")
     offered = table.select("repo", "key").distinct()
     same = ["repo", "lang", "kind", "raw", "dir"]
-    winner = (probes.join(offered, ["repo", "key"], "left_semi").groupBy(*same)
+    if offers > BROADCAST_ROWS:
+        # Both sides will be shuffled by key, and one key may be asked for from everywhere.
+        probes = materialize(probes, "probes")
+    winner = (attach(probes, offered, ["repo", "key"], "left_semi", offers).groupBy(*same)
               .agg(F.min_by("key", "pos").alias("key")))
-    hits = materialize(winner.join(table, ["repo", "key"]).select(*same, "target"), "hits")
+    if offers > BROADCAST_ROWS:
+        winner = materialize(winner, "winners")
+    hits = materialize(attach(winner, table, ["repo", "key"], "inner", offers).select(*same, "target"), "hits")
     searched = attach(rows.where("not settled"), hits, same, "left")
     known = rows.where("settled").withColumn("target", F.lit(None).cast("string"))
     both = searched.select(*rows.columns, "target").unionByName(known.select(*rows.columns, "target"))

@@ -146,3 +146,16 @@ def test_find_files(spark):
     assert sorted((r.wanted, r.path, r.language, r.lines) for r in find_files(asked, files).collect()) == [
         ("../a/x.py", None, None, None), ("a/x.py", "a/x.py", "python", 2), ("q/x.py", "a/x.py", "python", 2),
         ("y.go", "c/y.go", "go", 1), ("zz", None, None, None)]
+
+
+def test_lookup_beyond_the_broadcast_bound(spark, monkeypatch):
+    from linkloom import store
+    from linkloom.operators import resolve
+    files = files_df(spark, TREES["js"][0])
+    options = ScanOptions.single("js")
+    scanned = scan_files(files, options)
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(resolve, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(store, "HOT_ROWS", 1)
+    out = resolve_imports(extract_imports(scanned, options.enabled), scanned, files, options)
+    assert sorted((r.src, r.target, r.is_external) for r in out.collect()) == sorted(TREES["js"][1])
