@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import mixing, sharding, simhash
+from linkloom.llm import decontam, mixing, secrets, sharding, simhash, warc
 from linkloom.llm.common import table
+from linkloom.store import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +71,36 @@ def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with their SimHash and the smallest doc_id they reach over three bits."""
     found = simhash.near_copies(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that overlap with benchmark items: one row per document and item."""
+    found = decontam.find_overlaps(table(spark, sf, "documents").select("doc_id", "text"),
+                                   table(spark, sf, "benchmark"))
+    hits = found.where(F.size("overlaps") > 0).select("doc_id", F.explode("overlaps").alias("o"))
+    return (hits.groupBy("doc_id", "o.item_id")
+            .agg(F.max("o.n_equal").alias("n_equal"), F.max("o.n_tokens").alias("n_tokens"), F.count("*").alias("n_places")))
+
+
+@query
+def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets of three kinds in all documents, with a digest of their places."""
+    found = secrets.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    kinds = F.array(*[F.lit(r.kind) for r in secrets.RULES])
+    shown = F.array_join(F.transform("secrets", lambda x: F.concat_ws(
+        ":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = [F.size(F.filter("secrets", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{r.kind}")
+             for i, r in enumerate(secrets.RULES)]
+    return found.select("doc_id", *count, F.sha2(shown, 256).alias("base_sha256"), shown.alias("spans"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages written as archives and read back."""
+    pages = warc.assign_types(table(spark, sf, "pages").select("page_id", "url", "html"))
+    archives = materialize(warc.write_archives(pages), "warc")
+    back = warc.read_archives(archives).where("record_type <> 'gap' and valid")
+    page = F.expr("cast(nullif(page_id, '') as bigint)").alias("page_id")
+    return back.select(page, "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").cast("bigint").alias("refers_to"))
