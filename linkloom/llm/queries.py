@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontam, mixing, secrets, sharding, simhash, warc
+from linkloom.llm import decontam, htmltext, mixing, secrets, sharding, simhash, warc
 from linkloom.llm.common import table
 from linkloom.store import materialize
 
@@ -104,3 +104,10 @@ def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
     page = F.expr("cast(nullif(page_id, '') as bigint)").alias("page_id")
     return back.select(page, "payload_bytes", "payload_digest", "record_type",
                        F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+@query
+def op6_html(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of all pages."""
+    got = htmltext.extract(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
