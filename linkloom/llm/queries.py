@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontam, htmltext, mixing, secrets, sharding, simhash, warc
+from linkloom.llm import decontam, htmltext, mixing, secrets, sharding, simhash, toxicity, warc
 from linkloom.llm.common import table
 from linkloom.store import materialize
 
@@ -111,3 +111,10 @@ def op6_html(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of all pages."""
     got = htmltext.extract(table(spark, sf, "pages").select("page_id", "url", "html"))
     return got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of all documents."""
+    got = toxicity.score_documents(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
+    return got.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
