@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontam, htmltext, mixing, secrets, sharding, simhash, toxicity, warc
+from linkloom.llm import decontam, htmltext, mixing, secrets, sharding, simhash, toolcalls, toxicity, vectors, warc
 from linkloom.llm.common import table
 from linkloom.store import materialize
 
@@ -118,3 +118,82 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity of all documents."""
     got = toxicity.score_documents(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
     return got.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op10_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Near copies among all embeddings."""
+    return vectors.near_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def tool_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results that the turns of conversations stand for: a user's turn calls a tool and waits for the
+    turn two before, an assistant's turn answers the call of the turn before. Every third call lacks an argument."""
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "")).cast("long")
+    name = F.get(F.array(F.lit("answer"), F.lit("look_up"), F.lit("rewrite")), F.pmod(F.col("turn"), F.lit(3)).cast("int"))
+    call = F.concat(F.lit("call_"), F.col("turn").cast("string"))
+    calls = conversations.where("role = 'user'").select(
+        "conv_id", call.alias("call_id"), "turn", name.alias("name"),
+        F.to_json(F.struct(F.col("turn").alias("turn"), F.coalesce("text", F.lit("")).alias("query"),
+                           F.when(F.col("conv_id") % 3 != 0, words).alias("limit"))).alias("arguments"),
+        F.array(F.concat(F.lit("call_"), (F.col("turn") - 2).cast("string"))).alias("after"))
+    results = conversations.where("role = 'assistant'").select(
+        "conv_id", F.concat(F.lit("call_"), (F.col("turn") - 1).cast("string")).alias("call_id"), "turn",
+        F.col("text").alias("content"))
+    return calls, results
+
+
+TOOLS = [("answer", "query", "string", True), ("answer", "turn", "integer", True), ("answer", "limit", "number", False),
+         ("look_up", "query", "string", True), ("look_up", "turn", "integer", True), ("look_up", "limit", "integer", True),
+         ("rewrite", "query", "string", True), ("rewrite", "turn", "string", False)]
+
+
+@query
+def op3_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of all conversations as tool calls, linked, ordered, validated and serialised."""
+    calls, results = tool_events(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
+    schemas = spark.createDataFrame(TOOLS, "name string, param string, type string, required boolean")
+    got = toolcalls.link_calls(calls, results, schemas)
+    return got.select("conv_id", "call_id", "turn", F.col("level").cast("long").alias("level"), "status", "valid",
+                      F.array_join("errors", ",").alias("errors"), "n_results", "json")
+
+
+SQL["op3_tool_calls"] = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, 'call_' || turn AS call_id, turn, coalesce(text, '') AS query,
+         ['answer', 'look_up', 'rewrite'][turn % 3 + 1] AS name, 'call_' || (turn - 2) AS dep,
+         CASE WHEN conv_id % 3 <> 0 THEN len(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> '')) END AS lim
+  FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, 'call_' || (turn - 1) AS call_id, min({'t': turn, 'x': text}) AS f, count(*) AS n_results
+      FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+many AS (SELECT conv_id, call_id, count(*) AS n FROM c GROUP BY ALL),
+ids AS (SELECT DISTINCT conv_id, call_id, dep FROM c),
+lv AS (
+  SELECT conv_id, call_id, 0 AS level FROM ids
+  WHERE NOT EXISTS (SELECT 1 FROM ids d WHERE d.conv_id = ids.conv_id AND d.call_id = ids.dep)
+  UNION ALL
+  SELECT ids.conv_id, ids.call_id, level + 1 FROM lv JOIN ids ON ids.conv_id = lv.conv_id AND ids.dep = lv.call_id)
+SELECT c.conv_id, c.call_id, c.turn, level, coalesce(n_results_, 0) AS n_results,
+  CASE WHEN n > 1 THEN 'repeated' WHEN f IS NULL THEN 'unanswered' WHEN f.t < c.turn THEN 'early' ELSE 'linked' END AS status,
+  errors = '' AS valid, errors,
+  '{"arguments":{' || CASE WHEN lim IS NULL THEN '' ELSE '"limit":' || lim || ',' END || '"query":' || to_json(query)
+    || ',"turn":' || c.turn || '},"id":"' || c.call_id || '","name":"' || name || '"'
+    || CASE WHEN f.x IS NULL THEN '' ELSE ',"result":' || to_json(f.x) END || '}' AS json
+FROM (SELECT *, CASE name WHEN 'answer' THEN ''
+        WHEN 'look_up' THEN CASE WHEN lim IS NULL THEN 'missing:limit' ELSE '' END
+        ELSE CASE WHEN lim IS NULL THEN 'type:turn' ELSE 'type:turn,unknown:limit' END END AS errors FROM c) c
+JOIN many USING (conv_id, call_id) LEFT JOIN lv USING (conv_id, call_id)
+LEFT JOIN (SELECT *, n_results AS n_results_ FROM r) r USING (conv_id, call_id)
+UNION ALL BY NAME
+SELECT conv_id, call_id, f.t AS turn, NULL AS level, n_results, 'orphan' AS status, false AS valid, '' AS errors,
+  '{"id":"' || call_id || '"' || CASE WHEN f.x IS NULL THEN '' ELSE ',"result":' || to_json(f.x) END || '}' AS json
+FROM r ANTI JOIN c USING (conv_id, call_id)
+"""
+
+
+
+@query
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over all documents."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf)
