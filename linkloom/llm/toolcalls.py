@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.store import write_table
+from linkloom.store import Rounds, write_table
 
 # JSON schema types and the variant types that satisfy them, as a pattern.
 TYPES = {"string": "STRING", "integer": "BIGINT|TINYINT|SMALLINT|INT", "boolean": "BOOLEAN", "null": "VOID",
@@ -13,26 +13,52 @@ TYPES = {"string": "STRING", "integer": "BIGINT|TINYINT|SMALLINT|INT", "boolean"
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level: the longest chain of calls that a call waits for, by Kahn's rounds.
+    """conv_id, call_id, level: the longest chain of calls that a call waits for.
 
     ``calls(conv_id, call_id, after)``: ``after`` lists the calls of the same conversation that come first; ids that
-    name no call are passed over. A call on a cycle, or behind one, has no row. Each round is a written table of the
-    calls that became ready; there are as many rounds as the longest chain in any conversation.
+    name no call are passed over. A call on a cycle, or behind one, has no row. A call that waits for one other
+    points at it, and pointers double until they reach a call that waits for none or for several: long chains take
+    a logarithm of rounds. What is left, calls that wait for several, is ordered by Kahn's rounds: as many as the
+    longest chain of such calls. Each round is a written table.
     """
-    nodes, _ = write_table(calls.select("conv_id", "call_id").distinct(), "calls")
-    arcs = (calls.select("conv_id", "call_id", F.explode("after").alias("dep")).distinct()
+    keys = ["conv_id", "call_id"]
+    nodes, _ = write_table(calls.select(*keys).distinct(), "calls")
+    arcs = (calls.select(*keys, F.explode("after").alias("dep")).distinct()
             .join(nodes.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left_semi"))
     arcs, _ = write_table(arcs, "calls")
-    ready, n = write_table(nodes.join(arcs, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "calls")
-    done, level = ready, 0
+    waits = arcs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("ptr"))
+    waits, _ = write_table(waits, "calls")
+    free = nodes.join(waits, keys, "left_anti").withColumn("level", F.lit(0))
+    one = waits.where("n = 1").select(*keys, "ptr", F.lit(1).alias("dist"), F.lit(True).alias("moved"))
+    rounds = Rounds("calls")
+    one, open_ = rounds.add(one, "moved")
+    span = 1
+    most = open_
+    while open_ and span <= 2 * most:
+        ahead = one.select("conv_id", F.col("call_id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("dist").alias("_dist"))
+        one, open_ = rounds.add(one.join(ahead, ["conv_id", "ptr"], "left").select(
+            *keys, F.coalesce("_ptr", "ptr").alias("ptr"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
+            F.col("_ptr").isNotNull().alias("moved")), "moved")
+        span *= 2
+    # Pointers that still move run in a cycle.
+    chained = one.where("not moved").select(*keys, F.col("ptr").alias("anchor"), "dist")
+    several = waits.where("n > 1").select(*keys)
+    through = chained.select("conv_id", F.col("call_id").alias("dep"), F.col("anchor").alias("_anchor"), "dist")
+    left = (arcs.join(several, keys, "left_semi").join(through, ["conv_id", "dep"], "left")
+            .groupBy(*keys, F.coalesce("_anchor", "dep").alias("anchor")).agg(F.max(F.coalesce("dist", F.lit(0))).alias("dist"))
+            .withColumn("level", F.lit(None).cast("int")))
+    left, n = write_table(left, "calls")
+    anchors, ready = free, free
     while n:
-        level += 1
-        left, _ = write_table(arcs.join(ready.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti"), "calls")
-        freed = (arcs.select("conv_id", "call_id").distinct()
-                 .join(left, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
-        ready, n = write_table(freed, "calls")
-        done, arcs = done.unionByName(ready), left
-    return done
+        known = ready.select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("_level"))
+        left, _ = write_table(left.join(known, ["conv_id", "anchor"], "left").select(
+            *keys, "anchor", "dist", F.coalesce("level", F.expr("_level + dist + 1")).alias("level")), "calls")
+        freed = left.groupBy(*keys).agg(F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
+        ready, n = write_table(freed.where("open = 0").drop("open"), "calls")
+        anchors = anchors.unionByName(ready)
+        left = left.join(ready, keys, "left_anti")
+    last = chained.join(anchors.withColumnRenamed("call_id", "anchor"), ["conv_id", "anchor"])
+    return anchors.unionByName(last.select(*keys, (F.col("level") + F.col("dist")).alias("level")))
 
 
 def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
