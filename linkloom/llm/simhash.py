@@ -136,7 +136,8 @@ def near_links(fps: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> Data
     full = stats.where("n > 1 and (lo = -1 or lo <> hi)").select("key", "n")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = (keyed.join(full, "key").select("key", "fp", blocks.alias("blocks"))
+    # The planner takes an exploded table for as small as what it came from; it must not be broadcast.
+    dealt = (keyed.join(full.hint("merge"), "key").select("key", "fp", blocks.alias("blocks"))
              .withColumn("own", own)
              .select("key", "fp", "blocks", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
              .select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(
