@@ -97,16 +97,19 @@ def index(items: list[tuple[int, str]]) -> Index:
     return Index(ids, codes, masks, tables)
 
 
-def _overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Best stretch of the diagonal: start and end in the item, equal tokens. An equal token counts 1, another
-    -4, so a stretch that ends above zero is equal in four fifths at least."""
+def _overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
+    """Start and end in the item, and equal tokens, of the stretch of the diagonal from the first to the last window
+    of thirteen tokens (or of a whole shorter item) of which four fifths are equal; None without one."""
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-    same = doc[lo + shift:hi + shift] == item[lo:hi]
-    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
-    floor = np.minimum.accumulate(score)
-    end = int(np.argmax(score - floor))
-    start = int(np.argmin(score[:end + 1]))
-    return lo + start, lo + end, int(same[start:end].sum())
+    wide = min(MIN_TOKENS, len(item))
+    if hi - lo < wide:
+        return None
+    ran = np.concatenate([[0], np.cumsum(doc[lo + shift:hi + shift] == item[lo:hi])])
+    good = np.flatnonzero(ran[wide:] - ran[:-wide] >= MIN_IDENTITY * wide)
+    if not len(good):
+        return None
+    start, end = int(good[0]), int(good[-1]) + wide
+    return lo + start, lo + end, int(ran[end] - ran[start])
 
 
 def overlaps(text: str | None, idx: Index, book: _Codes) -> list[tuple[int, int, int, int, int]]:
@@ -128,9 +131,8 @@ def overlaps(text: str | None, idx: Index, book: _Codes) -> list[tuple[int, int,
     found = []
     for i, shift in sorted(pairs):
         codes = idx.codes[i]
-        start, end, same = _overlap(doc, codes, shift)
-        if same >= min(MIN_TOKENS * MIN_IDENTITY, len(codes) * MIN_IDENTITY) and \
-                end - start >= min(MIN_TOKENS, len(codes)) and same >= MIN_IDENTITY * (end - start):
+        if (got := _overlap(doc, codes, shift)) is not None:
+            start, end, same = got
             found.append((idx.ids[i], start + shift, start, end - start, same))
     return found
 
@@ -157,8 +159,8 @@ def find_overlaps(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
                   item_text: str = "text", name: str = "overlaps") -> DataFrame:
     """``docs`` with an array ``name`` of overlaps with test items; a column of that name is replaced.
 
-    An overlap is a stretch of at least thirteen tokens (or of a whole shorter item) on one diagonal, of whose
-    tokens four fifths are equal; it is found where a spaced seed of the text equals one of the item. The test
+    An overlap runs, on one diagonal, from the first to the last window of thirteen tokens (or of a whole shorter
+    item) of which four fifths are equal; it is found where a spaced seed of the text equals one of the item. The test
     set goes to the tasks in blocks of bounded size, each block in a pass over the rows of the one before; the
     documents themselves are never shuffled. Null and empty texts have no overlaps, items without id or text or
     below five tokens are left out.

@@ -31,7 +31,7 @@ LOOKALIKES = {
 }
 # Log probabilities of the channel: a sign for a letter, a mark put between letters, a sign that could be a letter
 # put there, one more of the same letter.
-SIGN, NOISE, STRAY, REPEAT = math.log(0.2), math.log(0.1), math.log(0.001), math.log(0.2)
+SIGN, NOISE, STRAY, REPEAT = math.log(0.2), math.log(0.1), math.log(1e-6), math.log(0.2)
 
 # The language model's alphabet: 0 is any boundary; letters up to U+024F share the symbols by a fixed rule.
 _SYMBOLS = 64
