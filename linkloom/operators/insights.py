@@ -75,7 +75,7 @@ def health_score(nodes: DataFrame, cycles: DataFrame, coupling: DataFrame) -> Da
     """repo, score in 0..100 and the counts it is made of.
 
     Node findings are counted in one pass with the two per-repo maxima joined in; ``coupling``
-    holds the reported pairs.
+    holds all pairs, so a small but tight one counts as well.
     """
     tops = _per_repo(nodes, F.max("in_degree").alias("_in"))
     c = F.count_if

@@ -15,7 +15,7 @@ from linkloom.functions import paths
 from linkloom.functions.languages import (
     CSHARP_PREFIXES, ELIXIR_MODULES, EXTENSIONS, HASKELL_MODULES, HASKELL_PREFIXES, KOTLIN_PREFIXES, LUA_MODULES,
     PHP_PREFIXES, RUBY_MODULES, SCALA_PREFIXES, SWIFT_MODULES, ZIG_MODULES, ScanOptions, include_excluded,
-    python_stdlib, starts_with_any,
+    PYTHON_MODULES, starts_with_any,
 )
 from linkloom.operators.extract import CS_NAMESPACE, PHP_NAMESPACE, extract_imports, find_all, scan_files
 from linkloom.operators.iterate import union_all
@@ -97,7 +97,7 @@ def _python() -> Plan:
     at = F.when(relative, inside).otherwise(_slashed(raw()))
     ladder = _keys("f:", _cat(at, ".py"), paths.join_path(at, F.lit("__init__.py")))
     return Plan(["py"], ladder, F.when(relative, _cat(at, ".py")).otherwise(raw()), ~relative,
-                settled=~relative & _first_part(raw(), ".").isin(python_stdlib()))
+                settled=~relative & _first_part(raw(), ".").isin(PYTHON_MODULES))
 
 
 def _java() -> Plan:

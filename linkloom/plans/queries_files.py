@@ -144,9 +144,17 @@ def excluded_targets(spark, sf):
     return mixed(spark, sf).select("path", E.include_excluded(F.col("path"), ("c", "h", "cpp")).alias("excluded"))
 
 
-@query("go_module", "S6", "SELECT 'go' AS repo, 'example.com/app' AS go_module FROM region LIMIT 1")
+@query("go_module", "S6", """
+SELECT 'customer' || c_custkey AS repo, 'example.com/' || lower(c_mktsegment) || '/m' || c_custkey AS go_module FROM customer
+WHERE c_custkey % 3 <> 0""")
 def go_module(spark, sf):
-    return R.go_modules(T.files_of(spark, sf, "go"))
+    """A repo per customer; every third declares no module."""
+    name = F.concat(F.lit("example.com/"), F.lower("c_mktsegment"), F.lit("/m"), F.col("c_custkey").cast("string"))
+    head = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("// build\nmodule "), name, F.lit("\n"))).otherwise(F.lit(""))
+    files = V.table(spark, sf, "customer").select(
+        F.concat(F.lit("customer"), F.col("c_custkey").cast("string")).alias("repo"), F.lit("go.mod").alias("path"),
+        F.concat(head, F.lit("\ngo 1.22\n")).alias("content"))
+    return R.go_modules(files)
 
 
 @query("namespace_files_cs", "A31 J6", O.sql(O.FK_DIRECT + ", n AS (SELECT source AS id FROM e UNION SELECT target FROM e UNION SELECT 'part/' || p_partkey FROM part UNION SELECT 'region/' || r_regionkey FROM region)", """

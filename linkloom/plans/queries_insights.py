@@ -182,17 +182,16 @@ def top_coupling(spark, sf):
 
 
 @query("tight_coupling_fk", "A32", O.sql(FK + "," + O.COUPLING, """
-SELECT dir1, dir2, score, score > 0.3 AS high FROM topcoup WHERE score > 0.1"""))
+SELECT dir1, dir2, score, score > 0.3 AS high FROM coup WHERE score > 0.1"""))
 def tight_coupling(spark, sf):
-    top = M.top_coupling(coupling(spark, sf, "fk"))
-    return N.tight_coupling(top, 0.1).select("dir1", "dir2", "score", (F.col("score") > 0.3).alias("high"))
+    return N.tight_coupling(coupling(spark, sf, "fk"), 0.1).select("dir1", "dir2", "score", (F.col("score") > 0.3).alias("high"))
 
 
 _SCORE = O.COUPLING + f""",
 cnt AS (SELECT count(*) AS n, count(*) FILTER (in_degree >= greatest(10, (SELECT max(in_degree) FROM m) * 0.5)) AS god,
   count(*) FILTER (in_degree = 0) AS unused, count(*) FILTER (stability > 0.7 AND in_degree >= 3) AS unstable,
   count(*) FILTER (depth >= 5) AS deep, count(*) FILTER (in_degree >= 5 AND out_degree >= 5) AS hubs,
-  (SELECT count(DISTINCT (cycle_id, kind)) FROM cyc) AS cycles, (SELECT count(*) FROM topcoup WHERE score > 0.3) AS coupled FROM m)"""
+  (SELECT count(DISTINCT (cycle_id, kind)) FROM cyc) AS cycles, (SELECT count(*) FROM coup WHERE score > 0.3) AS coupled FROM m)"""
 for _view in ("fk", "turns", "flow"):
     @query(f"health_score_{_view}", "A18", O.sql(O.metrics(_view) + "," + _SCORE, f"""
 SELECT greatest(0, least(100, 100 - least(30, cycles * 10) - least(15, god * 5) - least(15, coupled * 5)
@@ -200,7 +199,7 @@ SELECT greatest(0, least(100, 100 - least(30, cycles * 10) - least(15, god * 5)
   cycles, god, coupled, unused, unstable, deep, hubs FROM cnt"""))
     def _score(spark, sf, view=_view):
         b = V.build_of(spark, sf, view)
-        return N.health_score(b.nodes, b.cycles, M.top_coupling(coupling(spark, sf, view))).drop("repo")
+        return N.health_score(b.nodes, b.cycles, coupling(spark, sf, view)).drop("repo")
 
 
 _WARN = """,
@@ -563,14 +562,14 @@ def snapshot_round_trip_edges(spark, sf):
 @query("insights_lines_fk", "S12")
 def insights_lines(spark, sf):
     b = V.build_of(spark, sf, "fk")
-    return report.insight_lines(b, M.top_coupling(coupling(spark, sf, "fk"))).select("section", "line")
+    return report.insight_lines(b, coupling(spark, sf, "fk")).select("section", "line")
 
 
 @query("story_fk", "F28")
 def story_fk(spark, sf):
-    return report.story(V.build_of(spark, sf, "fk"), M.top_coupling(coupling(spark, sf, "fk"))).drop("repo")
+    return report.story(V.build_of(spark, sf, "fk"), coupling(spark, sf, "fk")).drop("repo")
 
 
 @query("story_flow", "F28")
 def story_flow(spark, sf):
-    return report.story(V.build_of(spark, sf, "flow"), M.top_coupling(coupling(spark, sf, "flow"))).drop("repo")
+    return report.story(V.build_of(spark, sf, "flow"), coupling(spark, sf, "flow")).drop("repo")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from linkloom.functions.scalars import plural, round_half_even
 from linkloom.operators import insights as N
 from linkloom.operators.iterate import union_all
+from linkloom.operators.metrics import top_coupling
+from linkloom.operators.ranking import top_per_group
 from linkloom.plans.build import Build
 from linkloom.sources.exports import _constant, _rows
 
@@ -34,7 +36,7 @@ def _ids(items: Column, start: int, n: int) -> Column:
     return F.array_join(F.transform(F.slice(items, start, n), lambda x: x["id"]), ", ")
 
 
-def story(b: Build, top_coupling: DataFrame) -> DataFrame:
+def story(b: Build, coupling: DataFrame) -> DataFrame:
     """repo, step, step_type, title, narrative: the report's steps, those without content left out."""
     nodes = b.nodes
     facts = N.overview(nodes, b.reduced.arcs).withColumnRenamed("files", "total")
@@ -43,8 +45,11 @@ def story(b: Build, top_coupling: DataFrame) -> DataFrame:
     loops = b.cycles.select("repo", "cycle_id", "kind", "size", "member")
     loop_facts = loops.groupBy("repo").agg(
         F.countDistinct("cycle_id", "kind").alias("n_cycles"), F.countDistinct("member").alias("n_cycle_files"),
-        F.max("size").alias("largest"), F.min("member").alias("sample"))
-    tight = top_coupling.where("score > 0.1")
+        F.max("size").alias("largest"))
+    shown = top_per_group(loops.select("repo", "member").distinct(), ["repo"], [F.asc("member")], 4)
+    loop_facts = loop_facts.join(shown.groupBy("repo").agg(F.array_join(
+        F.sort_array(F.collect_list("member")), ", ").alias("sample")), "repo")
+    tight = coupling.where("score > 0.1")
     tight_facts = tight.groupBy("repo").agg(
         F.count(F.lit(1)).alias("n_tight"),
         F.min_by(F.struct("dir1", "dir2", "cross_edges", "score"),
@@ -136,11 +141,11 @@ def story_highlights(b: Build) -> DataFrame:
     return lists.unionByName(loops)
 
 
-def insight_lines(b: Build, top_coupling: DataFrame) -> DataFrame:
+def insight_lines(b: Build, coupling: DataFrame) -> DataFrame:
     """Findings as Markdown lines; see ``sources.exports`` for the columns."""
     nodes = b.nodes
     repos = nodes.select("repo").distinct()
-    facts = (N.health_score(nodes, b.cycles, top_coupling).select("repo", "score")
+    facts = (N.health_score(nodes, b.cycles, coupling).select("repo", "score")
              .join(N.overview(nodes, b.reduced.arcs), "repo"))
 
     def item(df: DataFrame, section: int, rank: Column, *text) -> DataFrame:
@@ -156,7 +161,8 @@ def insight_lines(b: Build, top_coupling: DataFrame) -> DataFrame:
     loops = b.cycles.select("repo", F.col("member").alias("id")).distinct()
     god, hubs, core = N.god_files(nodes), N.hubs(nodes), N.unstable_core(nodes)
     impact, fan, deep = N.high_impact(nodes), N.high_fan_out(nodes), N.deep_files(nodes)
-    tight = top_coupling.where("score > 0.1").withColumn("id", F.col("dir1"))
+    # The printed list is the feature that is cut, after the counts are made.
+    tight = top_coupling(coupling.where("score > 0.1")).withColumn("id", F.col("dir1"))
     unused = nodes.where("in_degree = 0").select("repo", "id")
     head = [_constant(repos, 0, ["# Project Insights", ""]),
             _rows(facts, 1, _text("**Health Score: ", _s("score"), "/100**")), _rows(facts, 1, F.lit(""), ord_=1),
@@ -165,7 +171,11 @@ def insight_lines(b: Build, top_coupling: DataFrame) -> DataFrame:
             _rows(facts, 1, _text("| Dependencies | ", _s("edges"), " |"), ord_=5),
             _rows(facts, 1, _text("| Directories | ", _s("directories"), " |"), ord_=6),
             _rows(facts, 1, _text("| Density | ", _s("density"), "% |"), ord_=7), _rows(facts, 1, F.lit(""), ord_=8)]
-    body = (titled(2, "Circular Dependencies", loops, item(loops, 2, zero))
+    n_loops = b.cycles.groupBy("repo").agg(F.countDistinct("cycle_id", "kind").alias("n"), F.countDistinct("member").alias("m"))
+    counted = _text(_s("n"), " cycle(s) involving ", _s("m"), " files:")
+    files = item(loops, 2, zero)
+    body = (titled(2, "Circular Dependencies", loops, union_all([
+        files, _rows(n_loops, 2, counted, key=F.lit("")), _rows(n_loops, 2, F.lit(""), key=F.lit(" "))]))
             + titled(3, "God Files", god, item(god, 3, F.col("inbound"), " — ", _s("inbound"), " inbound refs"))
             + titled(4, "Hub Files", hubs, item(hubs, 4, F.col("total"), " — in:", _s("inbound"), " out:", _s("outbound")))
             + titled(5, "Unstable Core Files", core, item(core, 5, F.col("inbound"), " — instability=", _s("stability"), ", ",

@@ -19,13 +19,13 @@ def read_tree(spark: SparkSession, root: str, options: ScanOptions, repo: str |
     base = root.rstrip("/")
     raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(exts) + "}")
            .text(base, wholetext=True).select("value", F.col("_metadata.file_path").alias("uri")))
-    # Below the root: whatever follows its last occurrence of the given text.
-    marker = base.split("://", 1)[-1] + "/"
-    plain = F.url_decode(F.regexp_replace("uri", r"\+", "%2B"))
-    cut = F.locate(marker, plain)
+    # Both the root and the files as absolute paths of their file system; a prefix is then cut, not searched for.
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath()
+    plain = F.regexp_replace(F.url_decode(F.regexp_replace("uri", r"\+", "%2B")), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
     return raw.select(
         F.lit(repo or base.rsplit("/", 1)[-1]).alias("repo"),
-        F.substring(plain, cut + len(marker), F.length(plain)).alias("path"),
+        F.substring(plain, F.lit(len(whole.rstrip("/")) + 2), F.length(plain)).alias("path"),
         F.replace(F.regexp_replace("value", r"\r\n?", "\n"), F.lit("�"), F.lit("")).alias("content")) \
         .where(~skipped_path("path", options.enabled))
 

@@ -10,10 +10,11 @@ def windowed_churn(commits: DataFrame, length: str = "90 days", slide: str = "1
     """repo, path, start, end, commits, authors per sliding window.
 
     On a stream, touches later than ``late`` are dropped and a window is final once the
-    watermark passes its end. The author count is a sketch, so state stays small; on a batch
-    table the same call gives the same rows for all windows.
+    watermark passes its end. There the author count is a sketch, so state stays small; on a batch
+    table the same call gives all windows, with exact author counts.
     """
+    authors = F.approx_count_distinct("author", 0.01) if commits.isStreaming else F.countDistinct("author")
     timed = commits.withWatermark("ts", late) if commits.isStreaming else commits
     return (timed.groupBy("repo", "path", F.window("ts", length, slide).alias("w"))
-            .agg(F.count(F.lit(1)).alias("commits"), F.approx_count_distinct("author", 0.01).alias("authors"))
+            .agg(F.count(F.lit(1)).alias("commits"), authors.alias("authors"))
             .select("repo", "path", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "commits", "authors"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,17 +19,18 @@ class _Limiter(StatefulProcessor):
         self.times = handle.getListState("times", "us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [t[0] for t in self.times.get()] if self.times.exists() else []
-        for batch in rows:
-            batch = batch.sort_values(["us", "event_id"])
-            verdicts = []
-            for now in batch["us"]:
-                held = [t for t in held if now - t < self.window]
-                ok = len(held) < self.limit
-                if ok:
-                    held.append(now)
-                verdicts.append(ok)
-            yield pd.DataFrame({"key": [key[0]] * len(batch), "event_id": batch["event_id"].values, "accepted": verdicts})
+        held = deque(t[0] for t in self.times.get()) if self.times.exists() else deque()
+        # A key's rows come in several chunks in no order: two numbers each, sorted before any is decided.
+        batch = pd.concat([r[["us", "event_id"]] for r in rows]).sort_values(["us", "event_id"])
+        verdicts = []
+        for now in batch["us"]:
+            while held and now - held[0] >= self.window:
+                held.popleft()
+            ok = len(held) < self.limit
+            if ok:
+                held.append(now)
+            verdicts.append(ok)
+        yield pd.DataFrame({"key": [key[0]] * len(batch), "event_id": batch["event_id"].values, "accepted": verdicts})
         if held:
             self.times.put([(int(t),) for t in held])
         else:
@@ -39,7 +41,8 @@ class _Limiter(StatefulProcessor):
 
 
 def limit_stream(stream: DataFrame, key: str, ts: str, limit: int, window_seconds: float) -> DataFrame:
-    """key, event_id, accepted. Events of a micro-batch are decided in time order.
+    """key, event_id, accepted. Events of a micro-batch are decided in time order, however many chunks they come in;
+    bound the micro-batch (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) where one key is very busy.
 
     Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
