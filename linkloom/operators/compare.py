@@ -44,19 +44,13 @@ def added(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.select(*keys).distinct().join(old.select(*keys), keys, "left_anti")
 
 
-def cycle_signatures(cycles: DataFrame) -> DataFrame:
-    """One row per cycle of several files: its id, size and an order-free fingerprint of its members.
-
-    The fingerprint is two independent sums of 64-bit hashes next to the size and the smallest
-    member; it is aggregated on the map side, so a cycle of any size is never gathered.
-    """
-    return (cycles.where("kind = 'group'").groupBy("repo", "cycle_id", "size")
-            .agg(F.sum(F.xxhash64("member").cast("decimal(38,0)")).alias("h1"),
-                 F.sum(F.xxhash64(F.lit("#"), F.col("member")).cast("decimal(38,0)")).alias("h2")))
-
-
 def only_in(cycles: DataFrame, others: DataFrame) -> DataFrame:
     """Cycles (by member set) that the other side does not have: repo, cycle_id, size."""
-    return (cycle_signatures(cycles)
-            .join(cycle_signatures(others), ["repo", "cycle_id", "size", "h1", "h2"], "left_anti")
-            .select("repo", "cycle_id", "size"))
+    mine = cycles.where("kind = 'group'").select("repo", "cycle_id", "size", "member")
+    theirs = others.where("kind = 'group'").select(
+        "repo", "member", F.col("cycle_id").alias("_other"), F.col("size").alias("_size"))
+    # A member lies in one cycle of each side: cycles are equal when they share all members and have one size.
+    same = (mine.join(theirs, ["repo", "member"]).where("size = _size")
+            .groupBy("repo", "cycle_id", "size", "_other").agg(F.count(F.lit(1)).alias("_shared"))
+            .where("_shared = size").select("repo", "cycle_id"))
+    return mine.select("repo", "cycle_id", "size").distinct().join(same, ["repo", "cycle_id"], "left_anti")

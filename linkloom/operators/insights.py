@@ -33,7 +33,7 @@ def god_files(nodes: DataFrame) -> DataFrame:
             .select("repo", "id", F.col("in_degree").alias("inbound")))
 
 
-def high_fan_out(nodes: DataFrame, n: int | None = 10) -> DataFrame:
+def high_fan_out(nodes: DataFrame, n: int | None = None) -> DataFrame:
     """Outbound of at least 8 and at least 0.4 of the largest outbound."""
     top = _per_repo(nodes, F.max("out_degree").alias("_top"))
     hit = (attach(nodes, top, ["repo"], "inner")
@@ -42,26 +42,26 @@ def high_fan_out(nodes: DataFrame, n: int | None = 10) -> DataFrame:
     return hit if n is None else top_per_group(hit, ["repo"], [F.desc("outbound"), F.asc("id")], n)
 
 
-def hubs(nodes: DataFrame, n: int | None = 10, at_least: int = 5) -> DataFrame:
+def hubs(nodes: DataFrame, n: int | None = None, at_least: int = 5) -> DataFrame:
     hit = (nodes.where((F.col("in_degree") >= at_least) & (F.col("out_degree") >= at_least))
            .select("repo", "id", F.col("in_degree").alias("inbound"), F.col("out_degree").alias("outbound"),
                    (F.col("in_degree") + F.col("out_degree")).alias("total")))
     return hit if n is None else top_per_group(hit, ["repo"], [F.desc("total"), F.asc("id")], n)
 
 
-def deep_files(nodes: DataFrame, n: int | None = 10, at_least: int = 5) -> DataFrame:
+def deep_files(nodes: DataFrame, n: int | None = None, at_least: int = 5) -> DataFrame:
     hit = nodes.where(F.col("depth") >= at_least).select("repo", "id", "depth")
     return hit if n is None else top_per_group(hit, ["repo"], [F.desc("depth"), F.asc("id")], n)
 
 
-def high_impact(nodes: DataFrame, n: int | None = 10, at_least: int = 5) -> DataFrame:
+def high_impact(nodes: DataFrame, n: int | None = None, at_least: int = 5) -> DataFrame:
     total = _per_repo(nodes, F.count(F.lit(1)).alias("_n"))
     hit = (attach(nodes.where(F.col("impact") >= at_least), total, ["repo"], "inner")
            .select("repo", "id", "impact", round_half_up(F.col("impact") / F.col("_n") * 100, 1).alias("pct")))
     return hit if n is None else top_per_group(hit, ["repo"], [F.desc("impact"), F.asc("id")], n)
 
 
-def unstable_core(nodes: DataFrame, n: int | None = 10, above: float = 0.7, inbound: int = 3) -> DataFrame:
+def unstable_core(nodes: DataFrame, n: int | None = None, above: float = 0.7, inbound: int = 3) -> DataFrame:
     hit = (nodes.where((F.col("stability") > above) & (F.col("in_degree") >= inbound))
            .select("repo", "id", "stability", F.col("in_degree").alias("inbound")))
     return hit if n is None else top_per_group(hit, ["repo"], [F.desc("inbound"), F.asc("id")], n)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.ranking import top_per_group
-from linkloom.store import Rounds, attach, balanced_join, hot_keys, materialize, write_table
+from linkloom.store import HOT_ROWS, Rounds, attach, balanced_join, hot_keys, materialize, write_table
 
 
 def union_all(tables: list[DataFrame]) -> DataFrame:
@@ -85,9 +85,9 @@ def components(pairs: DataFrame, start: DataFrame | None = None) -> DataFrame |
             break
         members = _members(rest, colour, n)
         found.append(members)
-        solved = members.select("vid")
-        rest = (rest.join(solved, rest.src == solved.vid, "left_anti")
-                    .join(solved, rest.dst == solved.vid, "left_anti"))
+        for end in ("src", "dst"):
+            rest = balanced_join(rest, members.select(F.col("vid").alias(end)), [end], "left_anti",
+                                 hot_keys(rest, [end], n))
         rest, n = _trim(rest)
     return union_all(found) if found else None
 
@@ -95,11 +95,13 @@ def components(pairs: DataFrame, start: DataFrame | None = None) -> DataFrame |
 def _trim(pairs: DataFrame) -> tuple[DataFrame, int]:
     """Drop arcs until every source has an arc in and every target an arc out."""
     current, left = pairs, -1
+    start = pairs.limit(HOT_ROWS + 1).count()
+    by_src, by_dst = hot_keys(pairs, ["src"], start), hot_keys(pairs, ["dst"], start)
     while left:
         heads = current.select(F.col("dst").alias("src")).distinct()
         tails = current.select(F.col("src").alias("dst")).distinct()
-        current, n = write_table(
-            current.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"), "trim")
+        kept = balanced_join(current, heads, ["src"], "left_semi", by_src)
+        current, n = write_table(balanced_join(kept, tails, ["dst"], "left_semi", by_dst).select("src", "dst"), "trim")
         if n == left:
             break
         left = n
@@ -131,7 +133,8 @@ def _members(pairs: DataFrame, colour: DataFrame, rows: int) -> DataFrame:
     s = colour.select(F.col("vid").alias("src"), F.col("colour").alias("comp"))
     d = colour.select(F.col("vid").alias("dst"), F.col("colour").alias("comp"))
     with_source = balanced_join(pairs, s, ["src"], "inner", hot_keys(pairs, ["src"], rows))
-    inside, n = write_table(balanced_join(with_source, d, ["dst", "comp"], "inner", None)
+    inside, n = write_table(balanced_join(with_source, d, ["dst", "comp"], "inner",
+                                          hot_keys(with_source, ["dst", "comp"], rows))
                             .select("src", "dst", "comp"), "inside")
     hot = hot_keys(inside, ["dst", "comp"], n)
     known = Rounds("members")
@@ -303,11 +306,11 @@ def topological_layers(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
                     .cast("bigint").alias("layer")))
 
 
-def forest(vertices: DataFrame, pairs: DataFrame, impacts: DataFrame, max_depth: int = 8) -> DataFrame:
+def forest(vertices: DataFrame, pairs: DataFrame, impacts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Dependency forest below the roots of each repo: repo, parent, child, dist, first.
 
     Roots are vertices nothing points to; a repo without one starts at its five vertices of
-    highest impact. Each edge within ``max_depth`` is a row; ``first`` marks the one that shows
+    highest impact. Each edge below a root (within ``max_depth``, where a display asks for one) is a row; ``first`` marks the one that shows
     the child for the first time (fewest steps, then smallest parent).
     """
     inner = pairs.where("src <> dst").select(F.col("dst").alias("vid")).distinct()
@@ -319,7 +322,8 @@ def forest(vertices: DataFrame, pairs: DataFrame, impacts: DataFrame, max_depth:
     starts = roots.unionByName(spare).select(F.col("repo").alias("seed"), "vid")
     seen = reach_from(pairs, starts, max_depth)
     first = seen.select(F.col("seed").alias("repo"), F.col("vid").alias("child"), "parent")
-    shown = seen.where(F.col("dist") < max_depth).select("seed", F.col("vid").alias("src"), "dist")
+    shown = seen if max_depth is None else seen.where(F.col("dist") < max_depth)
+    shown = shown.select("seed", F.col("vid").alias("src"), "dist")
     edges = (pairs.join(shown, "src")
              .select(F.col("seed").alias("repo"), F.col("src").alias("parent"), F.col("dst").alias("child"),
                      (F.col("dist") + 1).alias("dist"))).distinct()

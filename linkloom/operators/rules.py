@@ -56,7 +56,7 @@ def violations_per_file(violations: DataFrame) -> DataFrame:
     return ends.groupBy("repo", "file").agg(F.sum("copies").alias("violations"))
 
 
-def worst_offenders(per_file: DataFrame, n: int = 8) -> DataFrame:
+def worst_offenders(per_file: DataFrame, n: int) -> DataFrame:
     return top_per_group(per_file, ["repo"], [F.desc("violations"), F.asc("file")], n)
 
 

@@ -186,7 +186,7 @@ def recount(nodes: DataFrame, edges: DataFrame) -> Recount:
     return Recount(g, comps, materialize(table, "impact"), cycle_members(g.vertices, g.arcs, comps))
 
 
-def impact_changes(old: DataFrame, new: DataFrame, n: int | None = 30) -> DataFrame:
+def impact_changes(old: DataFrame, new: DataFrame, n: int | None = None) -> DataFrame:
     """Impact of each remaining node before and after, largest change first."""
     both = (new.select("repo", F.col("id").alias("file"), F.col("impact").alias("new_impact"))
             .join(old.select("repo", F.col("id").alias("file"), F.col("impact").alias("old_impact")),

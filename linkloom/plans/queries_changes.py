@@ -195,13 +195,13 @@ def newly_orphaned(spark, sf):
 @query("removal_impact_changes_fk", "J26 T7", O.sql(_REMOVE + _IMPACTS, "SELECT * FROM ic ORDER BY abs(delta) DESC, file LIMIT 30"))
 def removal_impact_changes(spark, sf):
     new = after(spark, sf, "removal", removal(spark, sf))
-    return X.impact_changes(before(spark, sf, "fk").impacts, new.impacts).drop("repo")
+    return X.impact_changes(before(spark, sf, "fk").impacts, new.impacts, 30).drop("repo")
 
 
 @query("removal_impact_all_changes_fk", "J26", O.sql(_REMOVE + _IMPACTS, "SELECT * FROM ic"))
 def removal_impact_all(spark, sf):
     new = after(spark, sf, "removal", removal(spark, sf))
-    return X.impact_changes(before(spark, sf, "fk").impacts, new.impacts, None).drop("repo")
+    return X.impact_changes(before(spark, sf, "fk").impacts, new.impacts).drop("repo")
 
 
 @query("removal_statistics_fk", "A28", O.sql(_REMOVE, """
@@ -248,7 +248,7 @@ SELECT n2.id AS file, coalesce(i1.c, 0)::BIGINT AS old_impact, coalesce(i2.c, 0)
   WHERE coalesce(i1.c, 0) <> coalesce(i2.c, 0) ORDER BY abs(delta) DESC, file LIMIT 30"""))
 def removal_impact_changes_flow(spark, sf):
     new = after(spark, sf, "noerr", no_errors(spark, sf))
-    return X.impact_changes(before(spark, sf, "flow").impacts, new.impacts).drop("repo")
+    return X.impact_changes(before(spark, sf, "flow").impacts, new.impacts, 30).drop("repo")
 
 
 # Merge all nations of a region into the region's first nation.
@@ -280,7 +280,7 @@ def merge_edges(spark, sf):
 @query("merge_impact_changes_fk", "J24 J26 T7", O.sql(_MERGE + _IMPACTS, "SELECT * FROM ic ORDER BY abs(delta) DESC, file LIMIT 30"))
 def merge_impact_changes(spark, sf):
     new = after(spark, sf, "merge", merged(spark, sf))
-    return X.impact_changes(before(spark, sf, "fk").impacts, new.impacts).drop("repo")
+    return X.impact_changes(before(spark, sf, "fk").impacts, new.impacts, 30).drop("repo")
 
 
 @query("merge_statistics_fk", "A28 J24", O.sql(_MERGE, """
@@ -344,4 +344,4 @@ def split_nodes(spark, sf):
 @query("split_impact_changes_fk", "J25 J26", O.sql(_SPLIT + _IMPACTS, "SELECT * FROM ic"))
 def split_impact_changes(spark, sf):
     new = after(spark, sf, "split", parted(spark, sf))
-    return X.impact_changes(before(spark, sf, "fk").impacts, new.impacts, None).drop("repo")
+    return X.impact_changes(before(spark, sf, "fk").impacts, new.impacts).drop("repo")

@@ -16,6 +16,7 @@ from linkloom.operators import metrics as M
 from linkloom.operators import resolve as R
 from linkloom.operators.graph import graph_from_edges
 from linkloom.operators.insights import language_counts
+from linkloom.operators.iterate import union_all
 from linkloom.operators.links import page_links
 from linkloom.plans import oracle as O
 from linkloom.plans import trees as T
@@ -165,16 +166,14 @@ def namespace_files(spark, sf):
 
 
 @query("find_files_py", "S13 F23", O.sql(O.FK_DIRECT + ", n AS (SELECT source AS id FROM e UNION SELECT target FROM e UNION SELECT 'part/' || p_partkey FROM part UNION SELECT 'region/' || r_regionkey FROM region), f AS MATERIALIZED (SELECT replace(id, '/', '/m') || '.py' AS path FROM n)", """
-SELECT path AS wanted, path, 'python' AS language FROM f WHERE starts_with(path, 'nation/')
-UNION ALL SELECT 'lost/' || regexp_replace(path, '^.*/', ''), (SELECT min(g.path) FROM f g WHERE ends_with(g.path, '/' || regexp_replace(f.path, '^.*/', ''))), 'python'
-  FROM f WHERE starts_with(path, 'supplier/')
-UNION ALL SELECT '../' || path, NULL, NULL FROM f WHERE starts_with(path, 'region/')"""))
+SELECT path AS wanted, path, 'python' AS language FROM f
+UNION ALL SELECT 'lost/' || regexp_replace(path, '^.*/', ''), min(path), 'python' FROM f GROUP BY 1
+UNION ALL SELECT '../' || path, NULL, NULL FROM f"""))
 def find_files_py(spark, sf):
+    """Every file asked for by its path, by its base name in a lost folder, and by a path that climbs."""
     files = T.files_of(spark, sf, "py")
-    at = F.col("path")
-    asked = (files.where(at.startswith("nation/")).select("repo", at.alias("wanted"))
-             .unionByName(files.where(at.startswith("supplier/")).select("repo", F.concat(F.lit("lost/"), paths.basename(at)).alias("wanted")))
-             .unionByName(files.where(at.startswith("region/")).select("repo", F.concat(F.lit("../"), at).alias("wanted"))))
+    asked = union_all([files.select("repo", how.alias("wanted")) for how in (
+        F.col("path"), F.concat(F.lit("lost/"), paths.basename("path")), F.concat(F.lit("../"), "path"))])
     return find_files(asked, files).select("wanted", "path", "language")
 
 

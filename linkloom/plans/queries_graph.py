@@ -216,7 +216,7 @@ def tree_upward(spark, sf):
     """What it imports: breadth-first tree from every turn nothing depends on."""
     g = V.graph_of(spark, sf, "turns")
     tops = g.vertices.join(g.pairs.select(F.col("dst").alias("vid")), "vid", "left_anti")
-    found = I.reach_from(g.pairs, tops.select(F.col("vid").alias("seed")), max_dist=20)
+    found = I.reach_from(g.pairs, tops.select(F.col("vid").alias("seed")))
     return names(found, g.vertices, seed="root", vid="id", parent="parent_id") \
         .select("root", "id", "dist", F.col("parent_id").alias("parent"))
 

@@ -142,33 +142,33 @@ def god_files(spark, sf):
 SELECT id, out_degree AS outbound FROM m WHERE out_degree >= greatest(8, (SELECT max(out_degree) FROM m) * 0.4)
 ORDER BY out_degree DESC, id LIMIT 10"""))
 def high_fan_out(spark, sf):
-    return N.high_fan_out(nodes(spark, sf, "fk")).drop("repo")
+    return N.high_fan_out(nodes(spark, sf, "fk"), 10).drop("repo")
 
 
 @query("hubs_flow", "A14", O.sql(FLOW_ALL, """
 SELECT id, in_degree AS inbound, out_degree AS outbound, in_degree + out_degree AS total FROM m
 WHERE in_degree >= 3 AND out_degree >= 3 ORDER BY total DESC, id LIMIT 10"""))
 def hubs(spark, sf):
-    return N.hubs(nodes(spark, sf, "flow", None), at_least=3).drop("repo")
+    return N.hubs(nodes(spark, sf, "flow", None), 10, at_least=3).drop("repo")
 
 
 @query("deep_files_turns", "A15", O.sql(TURNS, "SELECT id, depth FROM m WHERE depth >= 5 ORDER BY depth DESC, id LIMIT 10"))
 def deep_files(spark, sf):
-    return N.deep_files(nodes(spark, sf, "turns")).drop("repo")
+    return N.deep_files(nodes(spark, sf, "turns"), 10).drop("repo")
 
 
 @query("high_impact_fk", "A16", O.sql(FK, f"""
 SELECT id, impact, {O.half_up('impact / (SELECT count(*) FROM m) * 100', 1)} AS pct FROM m
 WHERE impact >= 5 ORDER BY impact DESC, id LIMIT 10"""))
 def high_impact(spark, sf):
-    return N.high_impact(nodes(spark, sf, "fk")).drop("repo")
+    return N.high_impact(nodes(spark, sf, "fk"), 10).drop("repo")
 
 
 @query("unstable_core_flow", "A17", O.sql(FLOW_ALL, """
 SELECT id, stability, in_degree AS inbound FROM m WHERE stability > 0.5 AND in_degree >= 2
 ORDER BY in_degree DESC, id LIMIT 10"""))
 def unstable_core(spark, sf):
-    return N.unstable_core(nodes(spark, sf, "flow", None), above=0.5, inbound=2).drop("repo")
+    return N.unstable_core(nodes(spark, sf, "flow", None), 10, above=0.5, inbound=2).drop("repo")
 
 
 @query("coupling_fk", "A7", O.sql(FK + "," + O.COUPLING, "SELECT dir1, dir2, cross_edges, score FROM coup"))
@@ -388,7 +388,7 @@ def violations_per_file(spark, sf):
 @query("worst_offenders_fk", "T8", O.sql(_VIOL, _PER_FILE + " ORDER BY violations DESC, file LIMIT 8"))
 def worst_offenders(spark, sf):
     v = R.layer_violations(V.graph_of(spark, sf, "fk").arcs, LAYERS)
-    return R.worst_offenders(R.violations_per_file(v)).drop("repo")
+    return R.worst_offenders(R.violations_per_file(v), 8).drop("repo")
 
 
 OVERRIDES = {"nation/3": 9, "region/1": 0}

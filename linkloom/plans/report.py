@@ -159,8 +159,8 @@ def insight_lines(b: Build, coupling: DataFrame) -> DataFrame:
 
     zero = F.lit(0)
     loops = b.cycles.select("repo", F.col("member").alias("id")).distinct()
-    god, hubs, core = N.god_files(nodes), N.hubs(nodes), N.unstable_core(nodes)
-    impact, fan, deep = N.high_impact(nodes), N.high_fan_out(nodes), N.deep_files(nodes)
+    god, hubs, core = N.god_files(nodes), N.hubs(nodes, 10), N.unstable_core(nodes, 10)
+    impact, fan, deep = N.high_impact(nodes, 10), N.high_fan_out(nodes, 10), N.deep_files(nodes, 10)
     # The printed list is the feature that is cut, after the counts are made.
     tight = top_coupling(coupling.where("score > 0.1")).withColumn("id", F.col("dir1"))
     unused = nodes.where("in_degree = 0").select("repo", "id")
