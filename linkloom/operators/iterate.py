@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.ranking import top_per_group
@@ -66,15 +66,32 @@ def peel(pairs: DataFrame) -> Peel:
 
 # --- strongly connected components ---------------------------------------------------------
 
+def _mixed(vid: str, back: bool = False) -> Column:
+    """A vertex number exchanged for one in no order, one to one: two turns of a Feistel network; or the way back."""
+    def turn(a: Column, b: Column) -> Column:
+        return a.bitwiseXOR(F.xxhash64(b).bitwiseAND(F.lit(0xFFFFFFFF)))
+    high, low = F.shiftrightunsigned(vid, 32), F.col(vid).bitwiseAND(F.lit(0xFFFFFFFF))
+    if back:
+        low = turn(low, high)
+        high = turn(high, low)
+    else:
+        high = turn(high, low)
+        low = turn(low, high)
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
 def components(pairs: DataFrame, start: DataFrame | None = None) -> DataFrame | None:
     """Members of components with more than one vertex: ``vid, comp``; None when there are none.
 
     ``comp`` is the smallest member. Vertices that cannot lie on a cycle are trimmed from both
     ends; the rest is solved by colouring: the smallest vertex that reaches a vertex is its
-    colour, and the members of a component are those the colour's own vertex can be reached
-    from without leaving the colour. ``start`` may name arcs already known to hold all cycles.
+    colour, and the members of a component are those that reach the colour's own vertex without
+    leaving the colour: a colouring against the arcs. Vertices are numbered in no order
+    meanwhile, so colours jump far on rings and chains however these are numbered. ``start`` may
+    name arcs already known to hold all cycles.
     """
-    rest = (start if start is not None else pairs).where("src <> dst").select("src", "dst").distinct()
+    rest = (start if start is not None else pairs).where("src <> dst") \
+        .select(_mixed("src").alias("src"), _mixed("dst").alias("dst")).distinct()
     rest, n = _trim(rest)
     found: list[DataFrame] = []
     while n:
@@ -89,7 +106,13 @@ def components(pairs: DataFrame, start: DataFrame | None = None) -> DataFrame |
             rest = balanced_join(rest, members.select(F.col("vid").alias(end)), [end], "left_anti",
                                  hot_keys(rest, [end], n))
         rest, n = _trim(rest)
-    return union_all(found) if found else None
+    if not found:
+        return None
+    named = union_all(found).select(_mixed("vid", back=True).alias("vid"), "comp")
+    least = named.groupBy("comp").agg(F.min("vid").alias("head"), F.count(F.lit(1)).alias("members")) \
+        .where("members > 1").select("comp", "head")
+    least, groups = write_table(least, "heads")
+    return attach(named, least, ["comp"], "inner", groups).select("vid", F.col("head").alias("comp")) if groups else None
 
 
 def _trim(pairs: DataFrame) -> tuple[DataFrame, int]:
@@ -109,7 +132,13 @@ def _trim(pairs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _colours(pairs: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """vid, colour: the smallest vertex with a path to ``vid`` (itself included); and how many vertices."""
+    """vid, colour: the smallest vertex with a path to ``vid`` (itself included); and how many vertices.
+
+    In a round a vertex takes the least of its colour, those of its predecessors that changed, and the colour of
+    the vertex that names its colour: what reaches that one reaches the vertex too. So colours travel twice as far
+    with each round along rings and chains. Where a ring shares vertices with a greater one, a colour that enters
+    it still goes one arc a round until it meets the ring's own smallest vertex.
+    """
     hot = hot_keys(pairs, ["src"], rows)
     best, vertices = write_table(
         pairs.select(F.col("dst").alias("vid"), F.least("src", "dst").alias("colour"))
@@ -119,32 +148,29 @@ def _colours(pairs: DataFrame, rows: int) -> tuple[DataFrame, int]:
     while moved:
         offered = (balanced_join(pairs, changed.select(F.col("vid").alias("src"), "colour"), ["src"], "inner", hot)
                    .groupBy(F.col("dst").alias("vid")).agg(F.min("colour").alias("offer")))
+        jumps = best.where("colour < vid").select(F.col("vid").alias("colour"), F.col("colour").alias("jump"))
+        farther = balanced_join(best, jumps, ["colour"], "left", hot_keys(best, ["colour"], vertices))
+        lowest = F.least("colour", "offer", "jump")
         following, moved = Rounds("colour").add(
-            best.join(offered, "vid", "left")
-                .select("vid", F.least("colour", "offer").alias("colour"),
-                        F.coalesce(F.col("offer") < F.col("colour"), F.lit(False)).alias("moved")), "moved")
+            farther.join(offered, "vid", "left")
+                   .select("vid", lowest.alias("colour"), (lowest < F.col("colour")).alias("moved")), "moved")
         best = following.select("vid", "colour")
         changed = following.where("moved").select("vid", "colour")
     return best, vertices
 
 
 def _members(pairs: DataFrame, colour: DataFrame, rows: int) -> DataFrame:
-    """Vertices from which the vertex naming their colour can be reached inside the colour."""
+    """Vertices from which the vertex naming their colour can be reached inside the colour. A colour's own vertex is
+    its smallest, so these are the vertices that get the same colour against the arcs."""
     s = colour.select(F.col("vid").alias("src"), F.col("colour").alias("comp"))
     d = colour.select(F.col("vid").alias("dst"), F.col("colour").alias("comp"))
     with_source = balanced_join(pairs, s, ["src"], "inner", hot_keys(pairs, ["src"], rows))
     inside, n = write_table(balanced_join(with_source, d, ["dst", "comp"], "inner",
                                           hot_keys(with_source, ["dst", "comp"], rows))
-                            .select("src", "dst", "comp"), "inside")
-    hot = hot_keys(inside, ["dst", "comp"], n)
-    known = Rounds("members")
-    frontier, n = known.add(inside.where("dst = comp").select(F.col("comp").alias("vid"), "comp").distinct())
-    while n:
-        step = frontier.select(F.col("vid").alias("dst"), "comp")
-        reached = (balanced_join(inside, step, ["dst", "comp"], "inner", hot)
-                   .select(F.col("src").alias("vid"), "comp").distinct())
-        frontier, n = known.add(reached.join(known.all(), ["vid", "comp"], "left_anti"))
-    return known.all()
+                            .select(F.col("dst").alias("src"), F.col("src").alias("dst")), "inside")
+    back, _ = _colours(inside, n)
+    return materialize(colour.join(back, ["vid", "colour"], "left_semi").select("vid", F.col("colour").alias("comp")),
+                       "members")
 
 
 def component_arcs(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:

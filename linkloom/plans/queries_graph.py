@@ -11,7 +11,7 @@ from linkloom.operators.graph import names
 from linkloom.operators.whatif import unreachable
 from linkloom.plans import oracle as O
 from linkloom.plans import views as V
-from linkloom.plans.build import reduce_graph
+from linkloom.plans.build import find_components, reduce_graph
 from linkloom.plans.catalog import query
 from linkloom.store import attach
 
@@ -75,6 +75,23 @@ def components_flow(spark, sf):
         .select("id", F.col("head").alias("comp"), "size")
 
 
+@query("components_trade", "G2", """
+WITH RECURSIVE s AS MATERIALIZED (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
+near AS MATERIALIZED (SELECT DISTINCT x.s AS a, y.s AS b FROM s x JOIN s y ON x.p = y.p),
+tc(a, b) AS (SELECT a, b FROM near UNION SELECT tc.a, near.b FROM tc JOIN near ON tc.b = near.a),
+m AS MATERIALIZED (SELECT DISTINCT 'supplier/' || a AS id, b FROM tc
+                   UNION SELECT DISTINCT 'part/' || s.p, tc.b FROM s JOIN tc ON tc.a = s.s),
+low AS (SELECT b, min(id) AS comp FROM m GROUP BY b)
+SELECT id, min(comp) AS comp, count(*) OVER (PARTITION BY min(comp)) AS size FROM m JOIN low USING (b) GROUP BY id""")
+def components_trade(spark, sf):
+    """Nearly all parts and suppliers are one component."""
+    g = V.graph_of(spark, sf, "trade")
+    comps = V.stored(spark, sf, "components", "trade", make=lambda: find_components(g.pairs)[1])
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    return names(attach(comps, sizes, ["comp"], "inner"), g.vertices, vid="id", comp="head") \
+        .select("id", F.col("head").alias("comp"), "size")
+
+
 _CONDENSED = _FLOW_RAW + """,
 ce AS MATERIALIZED (
   SELECT source, target, coalesce(a.comp, source) AS cs, coalesce(b.comp, target) AS ct FROM d

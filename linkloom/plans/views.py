@@ -104,7 +104,20 @@ def flow_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return flow_steps(spark, sf).select(F.lit("flow").alias("repo"), F.col("state").alias("id")).distinct()
 
 
-_EDGES = {"fk": (fk_edges, fk_nodes), "turns": (turns_edges, turns_nodes), "flow": (flow_edges, flow_nodes)}
+def trade_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts and suppliers depend on each other where one sold the other: components of a large share of all nodes."""
+    sold = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    part, supplier = _id("part", "l_partkey"), _id("supplier", "l_suppkey")
+    return _arc(sold, "trade", part, supplier).unionByName(_arc(sold, "trade", supplier, part))
+
+
+def trade_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.lit("trade").alias("repo"), _id("part", "p_partkey").alias("id")).unionByName(
+        table(spark, sf, "supplier").select(F.lit("trade").alias("repo"), _id("supplier", "s_suppkey").alias("id")))
+
+
+_EDGES = {"fk": (fk_edges, fk_nodes), "turns": (turns_edges, turns_nodes), "flow": (flow_edges, flow_nodes),
+          "trade": (trade_edges, trade_nodes)}
 
 
 def graph_of(spark: SparkSession, sf: str, view: str) -> Graph:

@@ -122,3 +122,20 @@ def test_forest_marks_first_visit_and_falls_back(spark):
 def test_empty_graph(spark):
     b = build(graph(spark, [], nodes=("a", "b")))
     assert rows(b.nodes, "id", "impact", "depth", "risk") == [("a", 0, 0, "entry"), ("b", 0, 0, "entry")]
+
+
+def test_rounds_do_not_grow_with_the_length_of_a_ring(spark, monkeypatch):
+    size, counted = 2000, []
+    # Against the order of the numbers; and a vertex between two cycles, which is no member of either.
+    arcs = [(i, (i - 1) % size) for i in range(size)] + [(0, 5000), (5000, 6000), (6000, 6001), (6001, 6000)]
+    add = I.Rounds.add
+    monkeypatch.setattr(I.Rounds, "add", lambda self, *a: counted.append(1) or add(self, *a))
+    got = I.components(spark.createDataFrame(arcs, "src bigint, dst bigint")).collect()
+    assert {r.vid: r.comp for r in got} == {i: 0 for i in range(size)} | {6000: 6000, 6001: 6000}
+    assert len(got) == size + 2 and len(counted) <= 120
+
+
+def test_mixed_numbers_come_back(spark):
+    n = spark.createDataFrame([(0,), (1,), (2 ** 33 + 5,), (2 ** 62 + 9,), (-3,)], "v bigint")
+    mixed = n.select("v", I._mixed("v").alias("m"))
+    assert all(r.v == r.b for r in mixed.select("v", I._mixed("m", back=True).alias("b")).collect())
