@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.llm.common import star_components
-from linkloom.store import materialize
+from linkloom.store import attach, materialize, write_table
 
 SHINGLE = 3
 MAX_BITS = 3
+# Fixed values of ``keep_one_similar``: words of a shingle, shared part of all shingles, and differing bits searched.
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+SIMILAR_BITS = 17
 # Most fingerprints of a bucket that one comparison takes from one block.
 BLOCK = 2048
 
@@ -60,10 +64,59 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = SHINGLE) -> D
     return docs.select(*[f.name for f in kept], F.col(text).alias("_text")).mapInArrow(run, out)
 
 
+def shingle_set(text: bytes | None, words: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text in UTF-8: of all its words if they are fewer than ``words``,
+    none without words."""
+    w = (text or b"").lower().split()
+    if not w:
+        return np.empty(0, np.uint64)
+    words = min(words, len(w))
+    n = len(w) - words + 1
+    digest = xxhash.xxh64_intdigest
+    grams = zip(*[w[k:k + n] for k in range(words)])
+    return np.unique(np.fromiter((digest(b" ".join(t), 42) for t in grams), np.uint64, n))
+
+
+def set_print(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a shingle set; 0 of an empty one."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), _CHUNK):
+        some = hashes[lo:lo + _CHUNK]
+        lanes = np.bincount((some.view(np.uint8).reshape(-1, 8) + _LANES).ravel(), minlength=2048).reshape(8, 256)
+        ones += (lanes @ _BITS).ravel()
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def _with_sets(docs: DataFrame, words: int, whole: bool) -> DataFrame:
+    """Columns of ``docs`` but ``_text``, and of its shingle set either the hashes (``whole``) or fp, sig and n: its
+    SimHash, a hash that equal sets share, and its size."""
+    kept = [f for f in docs.schema.fields if f.name != "_text"]
+    made = ([T.StructField("shingles", T.ArrayType(T.LongType(), False), False)] if whole else
+            [T.StructField(c, T.LongType(), False) for c in ("fp", "sig", "n")])
+    out = T.StructType(kept + made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), words) for t in b.column(b.schema.names.index("_text")).cast(pa.binary())]
+            if whole:
+                cols = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            else:
+                sigs = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                cols = [pa.array([set_print(s) for s in sets], pa.int64()), pa.array(sigs),
+                        pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.names.index(f.name)) for f in kept), *cols],
+                                             names=[f.name for f in out.fields])
+
+    return docs.mapInArrow(run, out)
+
+
 def _tree(fps: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links that span the components of one bucket: every fingerprint is met once, from one it links with."""
     a, b = [], []
     left = fps
+    if len(left) > 64:  # most of a large bucket links with nothing: it is not walked one by one
+        near = [(np.bitwise_count(left[i:i + 64, None] ^ left[None, :]) <= bits).sum(1) for i in range(0, len(left), 64)]
+        left = left[np.concatenate(near) > 1]
     while len(left) > 1:
         front, left = left[:1], left[1:]
         while len(front) and len(left):
@@ -79,14 +132,30 @@ def _tree(fps: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray
     return a, b
 
 
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns, and starts and ends of the runs of equal keys in them. Rows come sorted by key, the first column; the
+    last run of a batch may go on in the next."""
+    held: list[np.ndarray] | None = None
+
+    def cut(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        at = np.flatnonzero(np.diff(cols[0])) + 1
+        return cols, np.concatenate([[0], at]), np.concatenate([at, [len(cols[0])]])
+
+    for batch in batches:
+        now = [c.to_numpy() for c in batch.columns]
+        held = now if held is None else [np.concatenate(p) for p in zip(held, now)]
+        if len(held[0]) and held[0][0] != held[0][-1]:
+            at = int(np.searchsorted(held[0], held[0][-1]))
+            yield cut([c[:at] for c in held])
+            held = [c[at:] for c in held]
+    if held is not None and len(held[0]):
+        yield cut(held)
+
+
 def _runs(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; the last run of a batch may go on in the next."""
-        keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-        def links(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cut = np.flatnonzero(np.diff(k)) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(k)]])
+        for (_, f), starts, ends in _whole_runs(batches):
+            f = f.view(np.uint64)
             size = ends - starts
             two = starts[size == 2]
             x, y = f[two], f[two + 1]
@@ -98,52 +167,77 @@ def _runs(bits: int):
                 b += more[1]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(v).view(np.int64)) for v in (a, b)], names=["a", "b"])
-
-        for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
-            if len(keys) and keys[0] != keys[-1]:
-                at = int(np.searchsorted(keys, keys[-1]))
-                yield from links(keys[:at], fps[:at])
-                keys, fps = keys[at:], fps[at:]
-        if len(keys):
-            yield from links(keys, fps)
     return run
 
 
-def near_links(fps: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """a, b: links that join all fingerprints of ``fps(fp)``, each once, within ``bits`` differing bits.
+def _pair_runs(bits: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of a run with different labels, near fingerprints, and sizes that leave ``least`` possible."""
+        for (_, f, sig, label, n), starts, ends in _whole_runs(batches):
+            f = f.view(np.uint64)
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for s, e in zip(starts, ends):
+                for lo in range(s, e - 1, 64):
+                    hi = min(lo + 64, e)
+                    hit = np.bitwise_count(f[lo:hi, None] ^ f[None, lo:e]) <= bits
+                    i, j = np.nonzero(np.triu(hit, 1))
+                    i, j = i + lo, j + lo
+                    few, many = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                    ok = (label[i] != label[j]) & (few / np.maximum(many, 1) >= least)
+                    a.append(np.minimum(sig[i[ok]], sig[j[ok]]))
+                    b.append(np.maximum(sig[i[ok]], sig[j[ok]]))
+            # A pair meets under many keys.
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in np.unique([np.concatenate(a), np.concatenate(b)], axis=1)],
+                                             names=["a", "b"])
+    return run
 
-    With at most three differing bits, one half differs in at most one. A half is indexed as it is and, for each of
-    its bits, with that bit left out, so equality joins find every link: fingerprints with equal halves meet under
-    the former key, those with one differing bit under the key without that bit. Buckets of one, and wildcard
-    buckets of one bit value only, are dropped before anything is compared. A bucket beyond ``block`` is dealt out
-    as pairs of blocks. Each comparison returns a spanning tree of what it links and not all pairs.
-    """
-    if not 0 <= bits <= 3:
-        raise ValueError("two halves cover up to three differing bits")
-    half = [F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))]
-    variants = []
-    for s, h in enumerate(half):
-        variants.append(F.struct(F.lit(s * 33).cast("int").alias("slot"), h.alias("part"), F.lit(-1).alias("bit")))
-        for i in range(32):
+
+def _buckets(rows: DataFrame, bits: int, block: int) -> DataFrame:
+    """key and the columns of ``rows(fp, ...)``, sorted by key in each partition: what has to be compared, see
+    ``near_links``."""
+    if not 0 <= bits <= 31:
+        raise ValueError("segments of four bits cover up to 31 differing bits")
+    count = max(2, bits // 2 + 1)
+    bounds = [64 * i // count for i in range(count + 1)]
+    variants, slot = [], 0
+    for lo, hi in zip(bounds, bounds[1:]):
+        mask = (1 << (hi - lo)) - 1
+        h = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit(mask).cast("long"))
+        variants.append(F.struct(F.lit(slot).cast("int").alias("slot"), h.alias("part"), F.lit(-1).alias("bit")))
+        for i in range(hi - lo):
             one = F.shiftrightunsigned(h, i).bitwiseAND(F.lit(1))
-            variants.append(F.struct(F.lit(s * 33 + i + 1).cast("int").alias("slot"),
-                                     h.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i))).alias("part"), one.cast("int").alias("bit")))
-    keyed = (fps.select("fp", F.explode(F.array(*variants)).alias("v"))
-             .select((F.col("v.part") * 128 + F.col("v.slot")).alias("key"), F.col("v.bit").alias("bit"), "fp"))
-    stats = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("bit").alias("lo"), F.max("bit").alias("hi"))
-    full = stats.where("n > 1 and (lo = -1 or lo <> hi)").select("key", "n")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+            variants.append(F.struct(F.lit(slot + i + 1).cast("int").alias("slot"),
+                                     h.bitwiseAND(F.lit(mask ^ (1 << i)).cast("long")).alias("part"), one.cast("int").alias("bit")))
+        slot += hi - lo + 1
+    own_columns = rows.columns
+    keyed = (rows.select(*own_columns, F.explode(F.array(*variants)).alias("v"))
+             .select((F.col("v.part") * 128 + F.col("v.slot")).alias("key"), F.col("v.bit").alias("bit"), *own_columns))
+    stats = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n_key"), F.min("bit").alias("lo"), F.max("bit").alias("hi"))
+    full = stats.where("n_key > 1 and (lo = -1 or lo <> hi)").select("key", "n_key")
+    blocks = F.ceil(F.col("n_key") / block).cast("int")
+    own = F.pmod(F.xxhash64(*own_columns), F.col("blocks")).cast("int")
     # The planner takes an exploded table for as small as what it came from; it must not be broadcast.
-    dealt = (keyed.join(full.hint("merge"), "key").select("key", "fp", blocks.alias("blocks"))
+    dealt = (keyed.join(full.hint("merge"), "key").select("key", *own_columns, blocks.alias("blocks"))
              .withColumn("own", own)
-             .select("key", "fp", "blocks", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+             .select("key", *own_columns, "blocks", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
              .select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(
-                 F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), "fp"))
-    runs = dealt.repartition("key").sortWithinPartitions("key")
-    return runs.mapInArrow(_runs(bits), "a bigint, b bigint").distinct()
+                 F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), *own_columns))
+    return dealt.repartition("key").sortWithinPartitions("key")
+
+
+def near_links(fps: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """a, b: links that join all fingerprints of ``fps(fp)``, each once, within ``bits`` differing bits.
+
+    A fingerprint is cut into s segments, as few as cover ``bits`` <= 2s - 1 (two at least): one segment then differs
+    in at most one bit. A segment is indexed as it is and, for each of its bits, with that bit left out, so equality
+    joins find every link: fingerprints with equal segments meet under the former key, those with one differing bit
+    under the key without that bit. Buckets of one, and wildcard buckets of one bit value only, are dropped before
+    anything is compared. A bucket beyond ``block`` is dealt out as pairs of blocks. Each comparison returns a
+    spanning tree of what it links and not all pairs. The more bits, the shorter the segments and the larger the
+    buckets: with 17 bits
+    unrelated fingerprints are compared about once each, so the comparisons (not the rows moved) grow with the square.
+    """
+    return _buckets(fps.select("fp"), bits, block).mapInArrow(_runs(bits), "a bigint, b bigint").distinct()
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = MAX_BITS,
@@ -177,3 +271,65 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int
     rows = docs.withColumn("_hash", F.xxhash64(text))
     kept = rows.join(chosen, rows[key].eqNullSafe(chosen["_key"]) & (rows["_hash"] == chosen["_hash"]), "left_semi")
     return kept.dropDuplicates([key, "_hash"]).select(*docs.columns)
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, bits: int, words: int, least: float) -> DataFrame:
+    """a, b: links that join all shingle sets of ``nodes(sig, fp, n, _id)`` with a Jaccard similarity of ``least`` or
+    more, as far as their fingerprints differ in at most ``bits`` bits. ``texts(_id, _text)`` has the text of each.
+
+    First the trees of ``near_links`` are verified by the exact similarity of the sets. Where a link of a tree fails, its
+    ends may still hang together over other pairs; if there are any, all near pairs between what is not yet joined are
+    verified too. Pairs inside a joined group are not looked at, so a large group of copies makes no square of pairs.
+    """
+    near = materialize(near_links(nodes.select("fp").distinct(), bits), "similar")
+    rep = nodes.groupBy("fp").agg(F.min("sig").alias("rep"))
+    tree = (near.join(rep.select(F.col("fp").alias("a"), F.col("rep").alias("_a")), "a")
+            .join(rep.select(F.col("fp").alias("b"), F.col("rep").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+            .unionByName(nodes.join(rep, "fp").where("sig <> rep").select(F.col("rep").alias("a"), F.col("sig").alias("b"))))
+    tree = materialize(tree, "similar")
+    met = tree.select(F.col("a").alias("sig")).unionByName(tree.select(F.col("b").alias("sig"))).distinct()
+    met, rows = write_table(nodes.join(met, "sig", "left_semi"), "similar")
+    found = attach(texts, met.select("_id", "sig"), ["_id"], "inner", rows).select("sig", "_text").dropDuplicates(["sig"])
+    sets = materialize(_with_sets(found, words, True), "similar")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            pairs = pairs.join(met.select(F.col("sig").alias(end), F.col("n").alias(f"_n{end}")), end)
+        pairs = pairs.where(F.least("_na", "_nb") / F.greatest("_na", "_nb", F.lit(1)) >= F.lit(float(least)))
+        for end in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("sig").alias(end), F.col("shingles").alias(f"_s{end}")), end)
+        shared = F.size(F.array_intersect("_sa", "_sb"))
+        return pairs.where(shared / (F.col("_na") + F.col("_nb") - shared) >= F.lit(float(least))).select("a", "b")
+
+    links = materialize(verified(tree), "similar")
+    roots = star_components(links, "similar").withColumnRenamed("node", "sig")
+    labels = materialize(met.join(roots, "sig", "left").select("fp", "sig", F.coalesce("root", "sig").alias("label"), "n"), "similar")
+    apart = tree.join(labels.select(F.col("sig").alias("a"), F.col("label").alias("_a")), "a").join(
+        labels.select(F.col("sig").alias("b"), F.col("label").alias("_b")), "b").where("_a <> _b")
+    if apart.isEmpty():
+        return links
+    rest = _buckets(labels, bits, BLOCK).mapInArrow(_pair_runs(bits, least), "a bigint, b bigint").distinct()
+    return links.unionByName(verified(materialize(rest, "similar")))
+
+
+def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = SIMILAR_BITS,
+                     words: int = SIMILAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """One row of each group of similar texts: that with the smallest key, of equal keys that with the smallest text
+    hash. Rows without a key come after all others. Columns are those of ``docs``.
+
+    Two texts link if the Jaccard similarity of their sets of ``words``-word shingles is ``least`` or more; a group is
+    what hangs together by links. Links are sought among SimHashes of these sets within ``bits`` bits and verified
+    exactly. Texts without words are copies of each other.
+    """
+    name = F.xxhash64(key, text).alias("_id")
+    mark = docs.select(F.col(key).isNull().alias("_no"), F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), name,
+                       F.col(text).alias("_text"))
+    prints = materialize(_with_sets(mark, words, False), "similar")
+    nodes = prints.groupBy("sig").agg(F.min("fp").alias("fp"), F.min("n").alias("n"),
+                                      F.min(F.struct("_no", "_key", "_hash", "_id")).alias("first"))
+    nodes = materialize(nodes, "similar")
+    links = similar_links(nodes.select("sig", "fp", "n", "first._id"), mark.select("_id", "_text"), bits, words, least)
+    roots = star_components(links, "similar").withColumnRenamed("node", "sig")
+    chosen = (nodes.join(roots, "sig", "left").groupBy(F.coalesce("root", "sig").alias("root"))
+              .agg(F.min("first").alias("m")).select("m._id"))
+    return docs.withColumn("_id", name).join(chosen, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
