@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 CELLS = 1 << 16
 VIRTUAL_NODES = 64
 
+# Slots by an order column are counted per shard and range of so many values.
+RANGE = 1 << 16
+
 Piece = tuple[int, int, int, int, int]
 
 
@@ -61,12 +64,15 @@ def place(counts: dict[int, int], shards: int, virtual: int = VIRTUAL_NODES) ->
     return pieces
 
 
-def shard_rows(rows: DataFrame, key: list[Column], shards: int, virtual: int = VIRTUAL_NODES) -> DataFrame:
+def shard_rows(rows: DataFrame, key: list[Column], shards: int, virtual: int = VIRTUAL_NODES,
+               order: str | None = None) -> DataFrame:
     """All columns of ``rows``, and shard (0 to ``shards`` - 1) and slot (gapless from 0 in each shard).
 
     ``key`` places a row on the ring; rows with equal keys are neighbours there. Counts of shards differ by one at
     most. Rows that are equal in all of ``key`` are alike to this operator, so any order among them will do.
-    Columns named shard or slot are replaced; no rows give no rows.
+    Columns named shard or slot are replaced; no rows give no rows. With ``order``, a column of whole numbers, the
+    slots of a shard follow it (nulls last, ties by ``key``), and not the ring; shards are the same. They are counted
+    per range of ``order`` with carried offsets, so no shard has to fit a task.
     """
     spark = rows.sparkSession
     base = rows.drop("shard", "slot").withColumn("_h", F.xxhash64(*key))
@@ -78,7 +84,17 @@ def shard_rows(rows: DataFrame, key: list[Column], shards: int, virtual: int = V
     rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_h", *key)) - 1
     ranked = base.withColumn("_rank", rank.cast("bigint")).join(plan, "_cell")
     mine = F.expr("filter(_pieces, p -> p.lo <= _rank and _rank < p.hi)[0]")
-    return (ranked.withColumn("_mine", mine)
-            .withColumn("shard", F.col("_mine.shard"))
+    ranked = ranked.withColumn("_mine", mine).withColumn("shard", F.col("_mine.shard"))
+    if order is not None:
+        placed = ranked.withColumn("_range", F.when(F.col(order).isNotNull(), F.floor(F.col(order) / RANGE)).otherwise(
+            # Rows without an order come after all ranges, dealt by their cell.
+            F.lit(1 << 62) + F.col("_cell")))
+        sizes = placed.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n"))
+        ahead = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.select("shard", "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+        local = F.row_number().over(Window.partitionBy("shard", "_range").orderBy(order, "_h", *key)) - 1
+        return (placed.withColumn("_local", local).join(sizes, ["shard", "_range"])
+                .select(*base.drop("_h", "_cell").columns, "shard", (F.col("_before") + F.col("_local")).alias("slot")))
+    return (ranked
             .withColumn("slot", F.col("_mine.slot") + F.col("_rank") - F.col("_mine.lo"))
             .drop("_h", "_cell", "_rank", "_pieces", "_mine"))
