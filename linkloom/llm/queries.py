@@ -153,7 +153,7 @@ def op3_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
     """Turns of all conversations as tool calls, linked, ordered, validated and serialised."""
     calls, results = tool_events(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
     schemas = spark.createDataFrame(TOOLS, "name string, param string, type string, required boolean")
-    got = toolcalls.link_calls(calls, results, schemas)
+    got = toolcalls.link_calls(calls, results, schemas, every_result=True)
     return got.select("conv_id", "call_id", "turn", F.col("level").cast("long").alias("level"), "status", "valid",
                       F.array_join("errors", ",").alias("errors"), "n_results", "json")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.store import Rounds, write_table
+from linkloom.store import Rounds, attach, write_table
 
 # JSON schema types and the variant types that satisfy them, as a pattern.
 TYPES = {"string": "STRING", "integer": "BIGINT|TINYINT|SMALLINT|INT", "boolean": "BOOLEAN", "null": "VOID",
@@ -93,21 +93,25 @@ def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return out.withColumn("errors", errors).drop("params", "_given", "_types")
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """conv_id, call_id, turn, level, status, valid, errors, n_results, json: one row per call and one per result
-    without a call.
+def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, every_result: bool = False) -> DataFrame:
+    """conv_id, call_id, turn, level, status, valid, errors, n_results, json: one row per call, one per id that only
+    results have and one per result without an id; with ``every_result`` also one per further result of any id.
 
     ``calls(conv_id, call_id, turn, name, arguments, after)``, ``results(conv_id, call_id, turn, content)``. Calls meet
     the first of their results by turn (of equal turns the first by content) in a hash join on conversation and
-    id; results are folded per id before, so a repeated id never multiplies. status: linked, early (the result's
-    turn is before the call's), unanswered, orphan (a result that no call asks for), repeated (an id with several
-    calls, each of which is a row). level orders the calls of a conversation topologically, null on and behind
-    cycles and for orphans. json has sorted keys and no spaces; parts that are null are left out, and arguments that
-    are no object are given as text. Null ids match nothing. Extra columns are dropped.
+    id; only that one is linked, so a repeated id never multiplies. status of a call: linked, early (the result's turn
+    is before the call's), unanswered, repeated (an id with several calls, each of which is a row). Status of a
+    result: repeated (a further result of an id that has a call), orphan (its id is null or names no call).
+    n_results counts the results with the id, 1 for a null id. level orders the calls of a conversation
+    topologically, null on and behind cycles and for results. json has sorted keys and no spaces; parts that are null
+    are left out, and arguments that are no object are given as text. Null ids match nothing. Extra columns are dropped.
     """
     calls = calls.select("conv_id", "call_id", "turn", "name", "arguments", "after")
     keys = ["conv_id", "call_id"]
-    first = (results.groupBy(*keys).agg(F.min(F.struct("turn", "content")).alias("_r"), F.count(F.lit(1)).alias("n_results")))
+    results = results.select(*keys, "turn", "content")
+    has_id = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    named = results.where(has_id)
+    first = (named.groupBy(*keys).agg(F.min(F.struct("turn", "content")).alias("_r"), F.count(F.lit(1)).alias("n_results")))
     many = calls.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     order = levels(calls.where("conv_id is not null and call_id is not null"))
     checked = validate(calls, schemas)
@@ -122,8 +126,26 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     rows = linked.select(*keys, "turn", "level", status.alias("status"), (F.size("errors") == 0).alias("valid"), "errors",
                          F.coalesce("n_results", F.lit(0)).alias("n_results"), json.alias("json"))
     lost = first.join(many, keys, "left_anti")
-    orphan = lost.select(*keys, F.col("_r.turn").alias("turn"), F.lit(None).cast("int").alias("level"),
-                         F.lit("orphan").alias("status"), F.lit(False).alias("valid"),
-                         F.array().cast("array<string>").alias("errors"), "n_results",
-                         F.to_json(F.struct(F.col("call_id").alias("id"), F.col("_r.content").alias("result"))).alias("json"))
-    return rows.unionByName(orphan)
+
+    def alone(found: DataFrame, status: Column) -> DataFrame:
+        """Rows of results that stand for themselves."""
+        return found.select(*keys, "turn", F.lit(None).cast("int").alias("level"), status.alias("status"),
+                            F.lit(False).alias("valid"), F.array().cast("array<string>").alias("errors"), "n_results",
+                            F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result"))).alias("json"))
+
+    orphan = F.lit("orphan")
+    rows = (rows.unionByName(alone(lost.select(*keys, "_r.turn", "_r.content", "n_results"), orphan))
+            .unionByName(alone(results.where(~has_id).withColumn("n_results", F.lit(1).cast("long")), orphan)))
+    if not every_result:
+        return rows
+    # Further results are read again only where an id has any. Equal ones are folded and dealt out again.
+    several, ids = write_table(named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_results")).where("n_results > 1"), "calls")
+    if not ids:
+        return rows
+    folded = attach(named, several, keys, "inner", ids).groupBy(*keys, "turn", "content", "n_results").agg(F.count(F.lit(1)).alias("_copies"))
+    shown = folded.groupBy(*keys).agg(F.min(F.struct("turn", "content")).alias("_r"))
+    further = (folded.join(shown, keys)
+               .withColumn("_copies", F.col("_copies") - F.struct("turn", "content").eqNullSafe(F.col("_r")).cast("int"))
+               .where("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _copies)")))
+               .join(many, keys, "left"))
+    return rows.unionByName(alone(further, F.when(F.col("_n").isNull(), orphan).otherwise("repeated")))
