@@ -234,8 +234,8 @@ def near_links(fps: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> Data
     under the key without that bit. Buckets of one, and wildcard buckets of one bit value only, are dropped before
     anything is compared. A bucket beyond ``block`` is dealt out as pairs of blocks. Each comparison returns a
     spanning tree of what it links and not all pairs. The more bits, the shorter the segments and the larger the
-    buckets: with 17 bits
-    unrelated fingerprints are compared about once each, so the comparisons (not the rows moved) grow with the square.
+    buckets: with 17 bits unrelated fingerprints are compared about once each, so comparisons grow with the square, and
+    so do the rows moved once buckets outgrow ``block``.
     """
     return _buckets(fps.select("fp"), bits, block).mapInArrow(_runs(bits), "a bigint, b bigint").distinct()
 
