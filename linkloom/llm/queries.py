@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontam, htmltext, mixing, secrets, sharding, simhash, toolcalls, toxicity, vectors, warc
+from linkloom.llm import decontam, htmltext, mixing, pieces, secrets, sharding, simhash, toolcalls, toxicity, vectors, warc
 from linkloom.llm.common import table
 from linkloom.store import materialize
 
@@ -191,6 +191,17 @@ FROM r ANTI JOIN c USING (conv_id, call_id)
 """
 
 
+@query
+def op12_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents encoded to pieces and decoded again."""
+    import public_tokenizers
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode_documents(table(spark, sf, "documents").select("doc_id", "text"), model).select("doc_id", "ids")
+    back = pieces.decode_documents(coded, model)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
