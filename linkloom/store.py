@@ -58,13 +58,25 @@ def write_table(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     """
     path = _new_path(df.sparkSession, label)
     rows, _ = _write(df, path, None)
-    return df.sparkSession.read.schema(df.schema).parquet(path), rows
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._table = path
+    return written, rows
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     return write_table(df, label)[0]
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``write_table`` that nothing reads any more, so that a long job holds only what it still needs."""
+    for df in tables:
+        path = df.__dict__.pop("_table", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 class Rounds:
     """The tables of a loop: written one by one, read one by one or all as a single scan."""
 
@@ -155,5 +167,5 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", r
     return balanced_join(big, small, on, how, hot_keys(big.select(*on), on))
 
 
-__all__ = ["BROADCAST_ROWS", "HOT_ROWS", "HotKeys", "Rounds", "attach", "balanced_join", "hot_keys",
+__all__ = ["BROADCAST_ROWS", "HOT_ROWS", "HotKeys", "Rounds", "attach", "balanced_join", "discard", "hot_keys",
            "materialize", "scratch_root", "spread", "write_table"]
