@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontam, htmltext, mixing, pieces, secrets, sharding, simhash, toolcalls, toxicity, vectors, warc
+from linkloom.llm import decontam, htmltext, mixing, phrases, pieces, secrets, sharding, simhash, spelling, toolcalls, toxicity, vectors, warc
 from linkloom.llm.common import table
 from linkloom.store import materialize
 
@@ -191,6 +191,13 @@ FROM r ANTI JOIN c USING (conv_id, call_id)
 """
 
 
+@query
+def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of all documents with their near words, and the most frequent one that each is a variant of."""
+    return spelling.variant_groups(spelling.word_counts(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+
 @query
 def op12_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """All documents encoded to pieces and decoded again."""
@@ -202,6 +209,39 @@ def op12_pieces(spark: SparkSession, sf: str) -> DataFrame:
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """The 2,000 phrases of each language that stand together most beyond chance."""
+    return phrases.collocations(table(spark, sf, "documents").select("text", "lang"))
+
+
+SQL["op13_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM d),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS at FROM p),
+g AS (SELECT lang, k, array_to_string(ws[at:at + k - 1], ' ') AS phrase
+      FROM i, range(1, 6) AS t(k) WHERE at + k - 1 <= len(ws)),
+c AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+split AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM c WHERE k > 1),
+kept AS (SELECT * FROM split s WHERE NOT EXISTS (
+  SELECT 1 FROM split o WHERE o.lang = s.lang AND o.k > s.k AND 100 * o.a >= 100 * s.a
+    AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' '))),
+cut AS (SELECT kept.lang, phrase, a, ws, t.cut FROM kept, range(1, 5) AS t(cut) WHERE t.cut < k),
+scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, cut, x.a AS l, y.a AS r, total.n,
+         (1000::HUGEINT * cut.a * total.n // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cut JOIN total USING (lang)
+  JOIN c x ON x.lang = cut.lang AND x.phrase = array_to_string(ws[1:cut], ' ')
+  JOIN c y ON y.lang = cut.lang AND y.phrase = array_to_string(ws[cut + 1:], ' ')),
+best AS (SELECT lang, phrase, a, n, min({'score': score, 'cut': cut, 'l': l, 'r': r}) AS b FROM scored GROUP BY ALL),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, phrase) AS rank, phrase, a,
+                  b.l AS l, b.r AS r, n, b.score AS score FROM best)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
 
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
