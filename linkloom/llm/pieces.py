@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 # Chunks of a text and pairs of tokens that a worker remembers at most; a full table is emptied.
-MEMO = 1 << 19
+MEMO = 1 << 18
+# Rows whose results are held before they are sent on.
+SOME = 512
 # Longer chunks are not remembered.
 MEMO_CHARS = 48
 # Below all scores: nothing takes up a whole token.
@@ -254,47 +256,46 @@ def pieces_of(model: bytes) -> Pieces:
     return _models[key]
 
 
-def _mapped(df: DataFrame, source: str, added: T.StructField, work) -> DataFrame:
-    kept = [f for f in df.schema.fields if f.name != added.name]
-    out = T.StructType([*kept, added])
+def _mapped(df: DataFrame, source: str, added: list[T.StructField], model_path: str, work) -> DataFrame:
+    with open(model_path, "rb") as f:
+        model = f.read()
+    pieces_of(model)  # an unfit model fails here, not in a task
+    new = {f.name for f in added}
+    kept = [f for f in df.schema.fields if f.name not in new]
+    out = T.StructType([*kept, *added])
+    kinds = [pa.binary() if isinstance(f.dataType, T.BinaryType) else pa.string() for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        do = work()
-        for b in batches:
-            got = pa.array([do(v.as_py()) for v in b.column(b.num_columns - 1)],
-                           pa.binary() if isinstance(added.dataType, T.BinaryType) else pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], got], names=[f.name for f in out.fields])
+        found = pieces_of(model)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SOME):
+                b = whole.slice(at, SOME)
+                made = [work(found, v.as_py()) for v in b.column(b.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, k) for c, k in zip(zip(*made), kinds))],
+                                                 names=[f.name for f in out.fields])
 
     return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{source}`").alias("_in")).mapInArrow(run, out)
 
 
 def encode_documents(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", bos: bool = True,
-                     eos: bool = True) -> DataFrame:
+                     eos: bool = True, decoded: str | None = None) -> DataFrame:
     """All columns of ``docs`` and ``ids``, which replaces a column of that name: the token ids of the whole text as
-    little-endian unsigned 32-bit integers in a binary.
+    little-endian unsigned 32-bit integers in a binary. With a name for ``decoded`` also the text decoded from these ids.
 
     The model file is read once, by the driver, and travels with the tasks. A null text is an empty one: of it only the
     begin and end ids remain. Each row is encoded by itself: repeated rows stay, an empty table gives an empty one.
     """
-    with open(model_path, "rb") as f:
-        model = f.read()
-    pieces_of(model)
+    added = [T.StructField(ids, T.BinaryType(), False)] + ([T.StructField(decoded, T.StringType(), False)] if decoded else [])
 
-    def work():
-        found = pieces_of(model)
-        return lambda value: found.encode(value or "", bos, eos)
+    def work(found: Pieces, value: str | None) -> tuple:
+        got = found.encode(value or "", bos, eos)
+        return (got, found.decode(got)) if decoded else (got,)
 
-    return _mapped(docs, text, T.StructField(ids, T.BinaryType(), False), work)
+    return _mapped(docs, text, added, model_path, work)
 
 
 def decode_documents(docs: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """All columns of ``docs`` and ``text``, which replaces a column of that name: the text that the ids of column
     ``ids`` (as ``encode_documents`` makes them) stand for. Null ids give an empty text."""
-    with open(model_path, "rb") as f:
-        model = f.read()
-
-    def work():
-        found = pieces_of(model)
-        return lambda value: found.decode(value or b"")
-
-    return _mapped(docs, ids, T.StructField(text, T.StringType(), False), work)
+    return _mapped(docs, ids, [T.StructField(text, T.StringType(), False)], model_path,
+                   lambda found, value: (found.decode(value or b""),))

@@ -203,8 +203,7 @@ def op12_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """All documents encoded to pieces and decoded again."""
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.encode_documents(table(spark, sf, "documents").select("doc_id", "text"), model).select("doc_id", "ids")
-    back = pieces.decode_documents(coded, model)
+    back = pieces.encode_documents(table(spark, sf, "documents").select("doc_id", "text"), model, decoded="decoded")
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -83,6 +83,8 @@ def test_documents(spark, docs, both):
         want = sp.encode(r["text"] or "", add_bos=True, add_eos=True)
         assert numbers(r["ids"]) == want and r["decoded"] == sp.decode(want)
     assert got.drop("ids", "decoded").exceptAll(docs).count() == 0
+    at_once = pieces.encode_documents(frame, PATH, decoded="decoded")
+    assert at_once.columns == got.columns and at_once.exceptAll(got).count() == 0
     assert pieces.encode_documents(docs.limit(0), PATH).count() == 0
     spaced = docs.withColumnRenamed("text", "my text")
     assert pieces.encode_documents(spaced, PATH, "my text").count() == len(rows)
