@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.store import write_table
+from linkloom.store import discard, write_table
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def set_aside(rows: DataFrame, names: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``rows`` with its columns called ``names`` under other names, so an operator can add its own; and what to select
+    from the result to get the columns of ``rows`` back as they were."""
+    other = {c: f"_own_{c}" if c in names else c for c in rows.columns}
+    renamed = rows.select(*[F.col(f"`{c}`").alias(o) for c, o in other.items()])
+    return renamed, [F.col(f"`{o}`").alias(c) for c, o in other.items()]
+
+
 def least_of(a: str, b: str) -> Column:
     return F.least(F.col(a), F.col(b))
 
@@ -30,7 +38,7 @@ def star_components(links: DataFrame, label: str) -> DataFrame:
     """
     edges = (links.where("a <> b").select(F.greatest("a", "b").alias("u"), least_of("a", "b").alias("v")).distinct())
     edges, _ = write_table(edges, label)
-    before = None
+    last, before = edges, None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", least_of("u", "m").alias("m"))
@@ -43,7 +51,9 @@ def star_components(links: DataFrame, label: str) -> DataFrame:
         edges = low.select("u", F.col("m").alias("v")).unionByName(rest).distinct().observe(
             seen, F.count(F.lit(1)).alias("n"),
             F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x"))
-        edges, _ = write_table(edges, label)
+        old, (edges, _) = last, write_table(edges, label)
+        last = edges
+        discard(old, large)
         now = (seen.get["n"], seen.get["x"])
         if now == before or rows == 0:
             break

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 MASKS = ("10111011", "111100101")
 MIN_TOKENS = 13
 MIN_IDENTITY = 0.8
-# Shortest test item that is searched for; shorter ones say too little.
+# Shortest test item that is searched for unless asked otherwise; shorter ones say too little.
 MIN_ITEM = 5
 # Tokens of test items that one pass holds in a task; larger test sets take several passes.
 BLOCK_TOKENS = 2_000_000
@@ -68,12 +68,12 @@ class Index:
     tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def index(items: list[tuple[int, str]]) -> Index:
-    """Items too short for every mask are sought by all of their tokens."""
+def index(items: list[tuple[int, str]], shortest: int = MIN_ITEM) -> Index:
+    """Items of ``shortest`` tokens or more; those too short for every mask are sought by all of their tokens."""
     book, ids, codes = _Codes(), [], []
     for key, text in items:
         words = tokens(text)
-        if len(words) >= MIN_ITEM:
+        if words and len(words) >= shortest:
             ids.append(key)
             codes.append(book.of(words))
     longest = max(map(len, MASKS))
@@ -112,28 +112,57 @@ def _overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, i
     return lo + start, lo + end, int(ran[end] - ran[start])
 
 
-def overlaps(text: str | None, idx: Index, book: _Codes) -> list[tuple[int, int, int, int, int]]:
-    """(item, first token in the text, first token in the item, tokens, equal tokens), one per item and diagonal."""
-    words = tokens(text)
-    if len(words) < MIN_ITEM or not idx.ids:
-        return []
-    doc = book.of(words)
-    pairs = set()
+def _diagonals(doc: np.ndarray, idx: Index) -> dict[int, set[int]]:
+    """For each item the shifts (place in the text less that in the item) at which a seed of both agrees.
+
+    Pairs of equal seeds are formed where they are few. Where tokens repeat, an item and a text can have more pairs than
+    diagonals; then all diagonals are looked at, each once.
+    """
+    met, shared = [], {}
     for mask, (hashes, item, at, there) in zip(idx.masks, idx.tables):
         h = _seeds(doc, mask)
         where = np.flatnonzero(there[(h % np.uint64(_SLOTS)).astype(np.int64)])
         if not len(where):
             continue
-        lo, hi = np.searchsorted(hashes, h[where]), np.searchsorted(hashes, h[where], side="right")
-        for p, a, b in zip(where[hi > lo], lo[hi > lo], hi[hi > lo]):
-            for k in range(a, b):
-                pairs.add((int(item[k]), int(p - at[k])))
+        where = where[np.argsort(h[where], kind="stable")]
+        seeds, start, size = np.unique(h[where], return_index=True, return_counts=True)
+        lo, hi = np.searchsorted(hashes, seeds), np.searchsorted(hashes, seeds, side="right")
+        for k in np.flatnonzero(hi > lo):
+            places = where[start[k]:start[k] + size[k]]
+            met.append((places, item[lo[k]:hi[k]], at[lo[k]:hi[k]]))
+            for i, n in zip(*np.unique(met[-1][1], return_counts=True)):
+                shared[int(i)] = shared.get(int(i), 0) + int(n) * len(places)
+    out: dict[int, set[int]] = {i: set() for i in shared}
+    many = {i for i, n in shared.items() if n > len(doc) + len(idx.codes[i])}
+    for places, items, ats in met:
+        for i, a in zip(items.tolist(), ats.tolist()):
+            if i not in many:
+                out[i].update((places - a).tolist())
+    for i in many:
+        own = idx.codes[i]
+        seeds = [(_seeds(doc, m), _seeds(own, m)) for m in idx.masks if "0" in m or len(m) == len(own)]
+        for shift in range(1 - len(own), len(doc)):
+            for x, y in seeds:
+                lo, hi = max(0, -shift), min(len(y), len(x) - shift)
+                if lo < hi and (x[lo + shift:hi + shift] == y[lo:hi]).any():
+                    out[i].add(shift)
+                    break
+    return out
+
+
+def overlaps(text: str | None, idx: Index, book: _Codes) -> list[tuple[int, int, int, int, int]]:
+    """(item, first token in the text, first token in the item, tokens, equal tokens), one per item and diagonal."""
+    words = tokens(text)
+    if not words or not idx.ids:
+        return []
+    doc = book.of(words)
     found = []
-    for i, shift in sorted(pairs):
+    for i, shifts in sorted(_diagonals(doc, idx).items()):
         codes = idx.codes[i]
-        if (got := _overlap(doc, codes, shift)) is not None:
-            start, end, same = got
-            found.append((idx.ids[i], start + shift, start, end - start, same))
+        for shift in sorted(shifts):
+            if (got := _overlap(doc, codes, shift)) is not None:
+                start, end, same = got
+                found.append((idx.ids[i], start + shift, start, end - start, same))
     return found
 
 
@@ -156,18 +185,18 @@ def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, s
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id",
-                  item_text: str = "text", name: str = "overlaps") -> DataFrame:
+                  item_text: str = "text", name: str = "overlaps", shortest: int = MIN_ITEM) -> DataFrame:
     """``docs`` with an array ``name`` of overlaps with test items; a column of that name is replaced.
 
     An overlap runs, on one diagonal, from the first to the last window of thirteen tokens (or of a whole shorter
     item) of which four fifths are equal; it is found where a spaced seed of the text equals one of the item. The test
     set goes to the tasks in blocks of bounded size, each block in a pass over the rows of the one before; the
     documents themselves are never shuffled. Null and empty texts have no overlaps, items without id or text or
-    below five tokens are left out.
+    below ``shortest`` tokens are left out. Items of fewer tokens than a mask are found without substitutions only.
     """
     out = docs.withColumn(name, F.array().cast(_HITS))
     for block in _blocks(items, item_key, item_text):
-        held = docs.sparkSession.sparkContext.broadcast(index(block))
+        held = docs.sparkSession.sparkContext.broadcast(index(block, shortest))
         schema = T.StructType(out.schema.fields)
         at_text, at_out = out.columns.index(text), out.columns.index(name)
 

@@ -22,36 +22,39 @@ def query(fn):
 
 @query
 def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks of eight documents, sources weighted by the square root of their size."""
+    """Blocks of eight documents, sources weighted by the square root of their size; weights are exact."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     weights = mixing.temperature_weights(docs.select("source"))
     return mixing.mix(docs, weights).select("doc_id", "source", "block", "slot", "position", "on_target")
 
 
 SQL["op1_mixing"] = f"""
-WITH RECURSIVE s AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY source),
-q AS (SELECT source, n, greatest(1, floor({mixing.RESOLUTION} * w / max(w) OVER () + 0.5))::BIGINT AS quota,
-             row_number() OVER (ORDER BY source) AS i FROM s),
-a AS (SELECT list(quota ORDER BY i) AS q, sum(quota)::BIGINT AS cycle FROM q),
-run(t, ran, pick) AS (
-  SELECT -1::BIGINT, list_transform(q, lambda x: 0::BIGINT), 0::BIGINT FROM a
+WITH RECURSIVE w AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY source),
+q AS (SELECT source, n, greatest(1, floor(w / max(w) OVER () * {float(1 << mixing.SHARE_BITS)}))::BIGINT AS share,
+             row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM w),
+a AS (SELECT list(share::HUGEINT ORDER BY i) AS share, list(n ORDER BY i) AS n FROM q),
+run(slot, since, ran, base, live, ok, pick, block, first, before) AS (
+  SELECT 0::BIGINT, 0::BIGINT, list_transform(n, lambda x: 0::BIGINT), list_transform(n, lambda x: 0::BIGINT), share, true,
+         NULL::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT FROM a WHERE len(n) > 0
   UNION ALL
-  SELECT t + 1, list_transform(ran, lambda n, i: CASE WHEN i = p THEN n + 1 ELSE n END), p
-  FROM (SELECT run.t, run.ran, a.cycle, list_min(list_transform(
-          list_filter(range(1, len(q) + 1), lambda j: ran[j] < q[j] AND ran[j] * cycle // q[j] <= t + 1),
-          lambda j: ((ran[j] + 1) * cycle + q[j] - 1) // q[j] * 1000000 + j)) % 1000000 AS p
-        FROM run, a WHERE t + 1 < cycle)),
-slots AS (SELECT pick AS i, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM run WHERE t >= 0),
+  SELECT CASE WHEN dry THEN slot ELSE slot + 1 END, CASE WHEN dry THEN slot ELSE since END,
+         CASE WHEN dry THEN ran ELSE list_transform(ran, lambda x, i: CASE WHEN i = j THEN x + 1 ELSE x END) END,
+         CASE WHEN dry THEN ran ELSE base END,
+         CASE WHEN dry THEN list_transform(live, lambda x, i: CASE WHEN ran[i] * {mixing.BLOCK_ROWS} >= n[i] THEN 0::HUGEINT ELSE x END)
+              ELSE live END,
+         ok AND NOT dry, CASE WHEN NOT dry THEN j END, CASE WHEN NOT dry THEN ran[j] END,
+         CASE WHEN dry THEN first ELSE first + least({mixing.BLOCK_ROWS}, n[j] - ran[j] * {mixing.BLOCK_ROWS}) END, first
+  FROM (SELECT *, ran[j] * {mixing.BLOCK_ROWS} >= n[j] AS dry FROM (
+    SELECT run.*, a.n, (list_min(list_transform(list_filter(range(1, len(n) + 1), lambda i:
+        live[i] > 0 AND (ran[i] - base[i]) * list_sum(live)::HUGEINT // greatest(live[i], 1) <= slot - since),
+      lambda i: (((ran[i] - base[i] + 1) * list_sum(live)::HUGEINT + live[i] - 1) // live[i]) * 1000000 + i)) % 1000000)::BIGINT AS j
+    FROM run, a WHERE list_sum(live) > 0))),
+slots AS (SELECT pick AS i, block, slot - 1 AS slot, before, ok AS on_target FROM run WHERE pick IS NOT NULL),
 d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source
-        ORDER BY md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, ''))) - 1 AS r FROM documents),
-b AS (SELECT doc_id, d.source, r // {mixing.BLOCK_ROWS} AS block, r % {mixing.BLOCK_ROWS} AS within, q.i, q.quota
-      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-p AS (SELECT b.*, block // quota * cycle + slots.slot AS slot
-      FROM b JOIN slots ON slots.i = b.i AND slots.turn = block % quota, a),
-e AS (SELECT min((ceil(n / {mixing.BLOCK_ROWS})::BIGINT) // quota * cycle + slots.slot) AS stop
-      FROM q JOIN slots ON slots.i = q.i AND slots.turn = (ceil(n / {mixing.BLOCK_ROWS})::BIGINT) % quota, a)
-SELECT doc_id, source, block, slot, row_number() OVER (ORDER BY slot, within) - 1 AS position, slot < stop AS on_target
-FROM p, e
+        ORDER BY md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, ''))) - 1 AS r FROM documents)
+SELECT doc_id, d.source, slots.block, slot, before + r % {mixing.BLOCK_ROWS} AS position, on_target
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+JOIN slots ON slots.i = q.i AND slots.block = r // {mixing.BLOCK_ROWS}
 """
 
 
@@ -97,13 +100,13 @@ def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
-    """All pages written as archives and read back."""
+    """All pages written as archives, among broken copies of every seventh record, and read back."""
     pages = warc.assign_types(table(spark, sf, "pages").select("page_id", "url", "html"))
-    archives = materialize(warc.write_archives(pages), "warc")
-    back = warc.read_archives(archives).where("record_type <> 'gap' and valid")
+    archives = materialize(warc.write_archives(pages, broken=7), "warc")
+    back = warc.read_archives(archives).where("record_type <> 'gap' and valid and sound")
     page = F.expr("cast(nullif(page_id, '') as bigint)").alias("page_id")
     return back.select(page, "payload_bytes", "payload_digest", "record_type",
-                       F.col("refers_to").cast("bigint").alias("refers_to"))
+                       F.col("refers_to").cast("bigint").alias("refers_to"), "gap_bytes")
 
 
 @query

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkloom.llm.common import set_aside
+
 # Most labelled rows that the scorer is fitted on: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 8_000
 # Lengths of the character n-grams, inside words with a space before and after.
@@ -306,5 +308,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out=None) -> DataFr
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that score ``least`` or more."""
-    return score_documents(docs, labels).where(F.col("score") < least).select(*docs.columns)
+    """``docs`` without the rows that score ``least`` or more; columns named score or held_out are kept as they are."""
+    own, back = set_aside(docs, ["score", "held_out"])
+    return score_documents(own, labels).where(F.col("score") < least).select(*back)

@@ -1,59 +1,10 @@
+import bisect
+import random
 from collections import Counter
-from math import ceil
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import mixing, sharding
-
-
-def brute_edf(quotas):
-    cycle, ran, out = sum(quotas), [0] * len(quotas), []
-    for t in range(cycle):
-        ready = [(-(-(ran[j] + 1) * cycle // q), j) for j, q in enumerate(quotas) if ran[j] < q and ran[j] * cycle // q <= t]
-        j = min(ready)[1]
-        ran[j] += 1
-        out.append(j)
-    return out
-
-
-def test_schedule_is_edf_and_within_one_block(spark):
-    w = spark.createDataFrame([("a", 8.0), ("b", 3.0), ("c", 1.0), (None, 2.0), ("z", 0.0), ("y", None)], "source string, weight double")
-    rows = {r["source"]: r for r in mixing.schedule(w, resolution=24).collect()}
-    assert set(rows) == {"a", "b", "c", None}
-    names = sorted(rows, key=lambda s: (s is not None, s))
-    quotas = [rows[s]["quota"] for s in names]
-    assert quotas == [6, 24, 9, 3]
-    want = brute_edf(quotas)
-    assert {s: [t for t, j in enumerate(want) if names[j] == s] for s in names} == {s: rows[s]["slots"] for s in names}
-    for j, q in enumerate(quotas):
-        for t in range(len(want) + 1):
-            assert abs(want[:t].count(j) - t * q / len(want)) < 1
-
-
-def test_mix_keeps_all_rows_in_gapless_order(spark, docs):
-    w = mixing.temperature_weights(docs)
-    out = mixing.mix(docs, w, block_rows=3).collect()
-    assert len(out) == docs.count()
-    assert sorted(r["position"] for r in out) == list(range(len(out)))
-    order = sorted(out, key=lambda r: r["position"])
-    assert [r["slot"] for r in order] == sorted(r["slot"] for r in out)
-    sizes = Counter(r["source"] for r in out)
-    blocks = Counter((r["source"], r["block"]) for r in out)
-    assert all(n == 3 or b == ceil(sizes[s] / 3) - 1 for (s, b), n in blocks.items())
-    # As long as every source supplies, no source is a block or more off its share.
-    quota = {r["source"]: (r["quota"], r["cycle"]) for r in mixing.schedule(w).collect()}
-    slots = sorted({(r["slot"], r["source"]) for r in out if r["on_target"]})
-    ran = Counter()
-    for t, s in slots:
-        ran[s] += 1
-        assert all(abs(ran[x] - (t + 1) * q / c) < 1 for x, (q, c) in quota.items())
-
-
-def test_mix_without_rows_or_weights(spark, docs):
-    assert mixing.mix(docs.limit(0), mixing.temperature_weights(docs.limit(0))).count() == 0
-    some = mixing.mix(docs, spark.createDataFrame([("s0", 1.0)], "source string, weight double"))
-    assert some.count() == docs.count()
-    assert some.where("source = 's1' and (slot is not null or position is not null)").count() == 0
+from linkloom.llm import sharding
 
 
 def test_shards_are_even_and_slots_gapless(spark, docs):
@@ -81,8 +32,42 @@ def test_overflow_goes_to_the_next_shard_with_room():
     for cell, n in counts.items():
         parts = sorted(covered[cell])
         assert parts[0][0] == 0 and parts[-1][1] == n and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
-    # A new shard moves about its own share and little more.
+    # A new shard moves its own share and little more: 4.8 % and 2.4 % would be the least.
     uniform = {c: 4 for c in range(0, sharding.CELLS, 16)}
     where = lambda k: {(c, r): s for c, lo, hi, s, _ in sharding.place(uniform, k) for r in range(lo, hi)}
-    a, b = where(20), where(21)
-    assert sum(a[k] != b[k] for k in a) < 0.25 * len(a)
+    for k, most, among_old in ((20, 0.07, 0.023), (40, 0.05, 0.026)):
+        a, b = where(k), where(k + 1)
+        assert sum(a[x] != b[x] for x in a) <= most * len(a)
+        assert sum(a[x] != b[x] and b[x] < k for x in a) <= among_old * len(a)
+
+
+def test_place_against_a_plain_walk():
+    """Every row goes to the shard of the next virtual node; where that is full, on to the next one with room."""
+    rnd = random.Random(3)
+    for shards, virtual in ((3, 4), (7, 16), (40, 32)):
+        starts, owners = sharding.ring(shards, virtual)
+        for counts in ({rnd.randrange(sharding.CELLS): rnd.randint(1, 30) for _ in range(200)}, {5: 700, 6: 1, 60000: 3}, {9: 2}):
+            total = sum(counts.values())
+            room = {s: total // shards + (s < total % shards) for s in range(shards)}
+            got = sharding.place(counts, shards, virtual)
+            full = Counter()
+            for cell, lo, hi, shard, slot in got:
+                full[shard] += hi - lo
+            assert all(full[s] == room[s] for s in room)
+            # A plain walk: rows at home first, as far as there is room, then those that overflow, both in ring order.
+            home = lambda cell: bisect.bisect_left(starts, cell) % len(starts)
+            left, want, over = dict(room), Counter(), []
+            for cell in sorted(counts):
+                node = home(cell)
+                n = min(counts[cell], left[owners[node]])
+                want[cell, owners[node]] += n
+                left[owners[node]] -= n
+                over += [(cell, node)] * (counts[cell] - n)
+            for cell, node in over:
+                shard = next(owners[(node + k) % len(owners)] for k in range(len(owners)) if left[owners[(node + k) % len(owners)]])
+                want[cell, shard] += 1
+                left[shard] -= 1
+            have = Counter()
+            for cell, lo, hi, shard, _ in got:
+                have[cell, shard] += hi - lo
+            assert +have == +want

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 
-from linkloom.llm import mixing
+from test_mix_exact import brute_run
 
 
 def mixed_ids(rows):
@@ -14,7 +14,8 @@ def mixed_ids(rows):
     names = sorted(by_source)
     for s in names:
         by_source[s].sort()
-    run = mixing.exact_run([(k, len(by_source[s]), len(by_source[s]) ** 0.5) for k, s in enumerate(names)])
+    most = max(len(v) ** 0.5 for v in by_source.values())
+    run = brute_run([(k, len(by_source[s]), int(len(by_source[s]) ** 0.5 / most * 2 ** 52)) for k, s in enumerate(names)])
     return [i for k, block, *_ in run for _, i in by_source[names[k]][block * 8:block * 8 + 8]]
 
 
