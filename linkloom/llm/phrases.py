@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from linkloom.store import attach, materialize
 
 # Words of a shard: bounds the memory of a task, whatever the length of a text.
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 2_000_000
 # Bytes of a text that are cut into words at a time; a cut falls between pieces.
 SLICE = 1 << 22
-# Rows of an Arrow batch that an index writes.
-BATCH = 1 << 16
+# Phrases of an Arrow batch that an index writes.
+BATCH = 1 << 18
 # Bits of the filter that tells tasks what is frequent, as a power of two: eight MB whatever the input. A filter that
 # fills up lets more rows pass to the exact sums; it never hides one.
 FILTER_BITS = 26
+# A phrase with one word less that can be more frequent than HEAVY has its last words dealt out over SALTS groups.
+HEAVY = 1_000_000
+SALTS = 256
 
 _SEPARATORS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\xff" * 10 + b" ")
 _BREAK = b"\xff"
@@ -150,8 +153,8 @@ class Half:
             ranked = key[order]
             rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])[:len(ids)]
             known += step
-        row = np.empty(len(ids), np.int64)
-        row[order] = np.arange(len(ids))
+        row = np.empty(len(ids), np.int32)
+        row[order] = np.arange(len(ids), dtype=np.int32)
         self.first = ids[order]
         self.after = row[(order + 1) % max(1, len(ids))]
 
@@ -172,7 +175,7 @@ class PhraseIndex:
     @staticmethod
     def _extended(half: Half, lo: np.ndarray, other: np.ndarray, size: np.ndarray):
         """parent, word, lo, other and size of all intervals one word longer."""
-        owner = np.full(len(half.first), -1, np.int64)
+        owner = np.full(len(half.first), -1, np.int32)
         ends = np.cumsum(size)
         rows = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - lo, size)
         owner[rows] = np.repeat(np.arange(len(size)), size)
@@ -224,20 +227,54 @@ def _joined_runs(ids: np.ndarray, joined: np.ndarray, least: int) -> np.ndarray:
     return got[kept]
 
 
-def _counts_of(shard_rows: DataFrame, shortest: int, longest: int, frequent: list[np.ndarray]) -> DataFrame:
-    """lang, phrase, words and n, once a shard for all phrases of ``shortest`` to ``longest`` words in it of which all
-    words, and all pairs of neighbours, pass the filters ``frequent`` of words and of pairs, as far as given."""
+def _packed(lang: str, names: pa.Array, columns: list[np.ndarray], n: np.ndarray, heavy: np.ndarray,
+            salts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """lang, head, salt, tails, n of phrases: those that share all words but the last in one row, last words and counts
+    joined by spaces. ``salts`` has a group for each word, which counts where all words of the head are ``heavy``."""
+    tail, head = columns[-1], columns[:-1]
+    hot = np.ones(len(n), bool)
+    for c in head:
+        hot &= heavy[c]
+    salt = np.where(hot, salts[tail], 0)
+    order = np.lexsort((salt, *reversed(head)))
+    salt, tail, n, head = salt[order], tail[order], n[order], [c[order] for c in head]
+    change = salt[1:] != salt[:-1]
+    for c in head:
+        change |= c[1:] != c[:-1]
+    start = np.concatenate([[0], np.flatnonzero(change) + 1])
+    lo = 0
+    while lo < len(start):
+        # As many whole rows as make a batch.
+        hi = max(lo + 1, int(np.searchsorted(start, start[lo] + BATCH)))
+        a, b = start[lo], start[hi] if hi < len(start) else len(n)
+        at = pa.array(np.append(start[lo:hi], b) - a, pa.int32())
+        words = pc.binary_join(pa.ListArray.from_arrays(at, names.take(pa.array(tail[a:b]))), " ")
+        counts = pc.binary_join(pa.ListArray.from_arrays(at, pa.array(n[a:b].astype(np.int64)).cast(pa.string())), " ")
+        first = [names.take(pa.array(c[start[lo:hi]])) for c in head]
+        joined = pc.binary_join_element_wise(*first, " ") if len(first) > 1 else first[0] if first else pa.array([""] * (hi - lo), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * (hi - lo), pa.string()), joined, pa.array(salt[start[lo:hi]].astype(np.int32)),
+                                          words, counts], names=["lang", "head", "salt", "tails", "n"])
+        lo = hi
+
+
+def _counts_of(shard_rows: DataFrame, shortest: int, longest: int, frequent: list[np.ndarray], heavy: np.ndarray) -> DataFrame:
+    """lang, phrase and a: the counts of all phrases of ``shortest`` to ``longest`` words of which all words, and all pairs
+    of neighbours, pass the filters ``frequent`` of words and of pairs, as far as given.
+
+    A shard sends a row for all phrases that differ in the last word only, so little more travels than these last words.
+    """
     context = shard_rows.sparkSession.sparkContext
-    filters = context.broadcast([f.tobytes() for f in frequent])
+    filters = context.broadcast([f.tobytes() for f in [heavy, *frequent]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = [np.frombuffer(f, np.uint8) for f in filters.value]
+        hot, *bits = [np.frombuffer(f, np.uint8) for f in filters.value]
         for batch in batches:
             for i in range(batch.num_rows):
                 lang, words = batch.column(0)[i].as_py(), batch.column(1)[i].as_py().split()
                 ids = np.frombuffer(batch.column(2)[i].as_buffer(), np.int32)
+                hashes = np.concatenate([np.zeros(1, np.uint64), _word_hashes(lang, words)])
+                salts = (hashes >> np.uint64(40)).astype(np.int64) % SALTS
                 if longest > 1:
-                    hashes = np.concatenate([np.zeros(1, np.uint64), _word_hashes(lang, words)])
                     good = _set_at(bits[0], hashes)
                     good[0] = False
                     ids = np.where(good[ids], ids, 0)
@@ -254,18 +291,18 @@ def _counts_of(shard_rows: DataFrame, shortest: int, longest: int, frequent: lis
                     found = [([np.flatnonzero(n[1:]) + 1], n[1:][n[1:] > 0])]
                 else:
                     found = PhraseIndex(ids, longest).phrases()
+                is_hot = _set_at(hot, hashes) if longest > 1 else np.ones(1, bool)
                 for columns, n in found:
-                    if len(columns) < shortest:
-                        continue
-                    for at in range(0, len(n), BATCH):
-                        taken = [names.take(pa.array(c[at:at + BATCH])) for c in columns]
-                        phrase = pc.binary_join_element_wise(*taken, " ") if len(taken) > 1 else taken[0]
-                        m = len(phrase)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * m, pa.string()), phrase, pa.array(np.full(m, len(columns), np.int32)),
-                             pa.array(n[at:at + BATCH].astype(np.int64))], names=["lang", "phrase", "words", "n"])
+                    if len(columns) >= shortest and len(n):
+                        yield from _packed(lang, names, columns, n, is_hot, salts)
 
-    return shard_rows.select("lang", "words", "ids").mapInArrow(run, "lang string, phrase string, words int, n bigint")
+    rows = shard_rows.select("lang", "words", "ids").mapInArrow(run, "lang string, head string, salt int, tails string, n string")
+    each = F.explode(F.arrays_zip(F.split("tails", " ").alias("word"), F.split("n", " ").alias("n"))).alias("x")
+    group = ["lang", "head", "salt"]
+    sums = rows.repartition(*group).select(*group, each).groupBy(*group, F.col("x.word").alias("word")).agg(
+        F.sum(F.col("x.n").cast("long")).alias("a"))
+    phrase = F.when(F.col("head") == "", F.col("word")).otherwise(F.concat_ws(" ", "head", "word"))
+    return sums.select("lang", phrase.alias("phrase"), "a")
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100,
@@ -279,15 +316,17 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     """
     parts = materialize(shards(docs, text, lang), "phrases")
     total = parts.groupBy("lang").agg(F.sum("n").alias("n"))
-    found, frequent = [], []
+    found, frequent, heavy = [], [], np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     for low, high in ((1, 1), (2, 2), (3, longest)):
         if low > high or low > longest:
             break
-        sums = _counts_of(parts, low, high, frequent).groupBy("lang", "phrase").agg(
-            F.first("words").alias("words"), F.sum("n").alias("a")).where(F.col("a") >= least)
-        found.append(materialize(sums, "phrases"))
+        sums = _counts_of(parts, low, high, frequent, heavy).where(F.col("a") >= least)
+        size = F.size(F.split("phrase", " ")).alias("words")
+        found.append(materialize(sums.select("lang", "phrase", size, "a"), "phrases"))
         if high < longest:
             frequent.append(frequent_filter(found[-1]))
+        if high == 1:
+            heavy = frequent_filter(found[0].where(F.col("a") > HEAVY))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)

@@ -55,6 +55,10 @@ def test_against_brute_force(spark, monkeypatch, least, longest, top, size):
     rows = corpus()
     docs = spark.createDataFrame(rows, "text string, lang string").selectExpr("*", "1 as a", "2 as n", "'x' as phrase").repartition(3)
     monkeypatch.setattr(phrases, "SHARD_WORDS", size)
+    if size < 1000:  # heads beyond HEAVY, and batches of few rows
+        monkeypatch.setattr(phrases, "HEAVY", 50)
+        monkeypatch.setattr(phrases, "SALTS", 3)
+        monkeypatch.setattr(phrases, "BATCH", 7)
     got = phrases.collocations(docs, least=least, longest=longest, top=top)
     assert sorted(map(tuple, got.collect())) == brute(rows, least, longest, top)
 
@@ -97,3 +101,24 @@ def test_exact_arithmetic_past_64_bits(spark):
     row = spark.range(1).selectExpr(f"{a}L a", f"{n}L n", f"{l}L l", f"{r}L r").selectExpr(
         "(1000 * cast(a as decimal(17,0)) * cast(n as decimal(17,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0))) as s")
     assert row.first()["s"] == 1000 * a * n // (l * r)
+
+
+def test_packed_rows_hold_all_phrases(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(phrases, "BATCH", 7)
+    rnd = random.Random(9)
+    names = pa.array(["", *(f"w{i}" for i in range(1, 13))])
+    heavy, salts = np.arange(13) % 3 == 0, np.arange(13) % 5
+    for k in (1, 2, 3):
+        want = {tuple(rnd.randint(1, 12) for _ in range(k)): rnd.randint(1, 99) for _ in range(200)}
+        columns = [np.array([p[j] for p in want]) for j in range(k)]
+        got, heads = {}, set()
+        for b in phrases._packed("en", names, columns, np.array(list(want.values())), heavy, salts):
+            for r in b.to_pylist():
+                assert (r["head"], r["salt"]) not in heads
+                heads.add((r["head"], r["salt"]))
+                for t, n in zip(r["tails"].split(" "), r["n"].split(" ")):
+                    got[f"{r['head']} {t}".strip()] = int(n)
+                    hot = all(heavy[int(w[1:])] for w in r["head"].split())
+                    assert r["salt"] == (salts[int(t[1:])] if hot else 0)
+        assert got == {" ".join(f"w{i}" for i in p): n for p, n in want.items()}
