@@ -86,7 +86,11 @@ def shard_rows(rows: DataFrame, key: list[Column], shards: int, virtual: int = V
     mine = F.expr("filter(_pieces, p -> p.lo <= _rank and _rank < p.hi)[0]")
     ranked = ranked.withColumn("_mine", mine).withColumn("shard", F.col("_mine.shard"))
     if order is not None:
-        placed = ranked.withColumn("_range", F.when(F.col(order).isNotNull(), F.floor(F.col(order) / RANGE)).otherwise(
+        # Only cells that are split need ranks; the rows of all others know their shard. There are CELLS of them at most.
+        whole = pieces.join(pieces.groupBy("_cell").count().where("count = 1").select("_cell"), "_cell").select("_cell", "shard")
+        split = ranked.join(F.broadcast(whole.select("_cell")), "_cell", "left_anti")
+        known = base.join(F.broadcast(whole), "_cell").select(*base.columns, "shard").unionByName(split.select(*base.columns, "shard"))
+        placed = known.withColumn("_range", F.when(F.col(order).isNotNull(), F.floor(F.col(order) / RANGE)).otherwise(
             # Rows without an order come after all ranges, dealt by their cell.
             F.lit(1 << 62) + F.col("_cell")))
         sizes = placed.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n"))
