@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import paths, scalars
 from linkloom.functions.languages import language_of
 from linkloom.operators.ranking import top_per_group
-from linkloom.store import attach
+from linkloom.store import attach, write_table
 
 
 def in_degrees(arcs: DataFrame) -> DataFrame:
@@ -19,22 +19,21 @@ def out_degrees(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy(F.col("src").alias("vid")).agg(F.sum("copies").alias("out_degree"))
 
 
-def impact(reach: DataFrame, comps: DataFrame | None) -> DataFrame:
+def impact(sets: DataFrame, comps: DataFrame | None) -> DataFrame:
     """vid, impact: how many other vertices reach the vertex.
 
-    ``reach`` holds pairs of components. A vertex is reached by the members of every component
-    above its own and by its fellow members.
+    ``sets`` are those of ``iterate.ancestor_sets`` between components. A vertex is reached by the members of every
+    component above its own and by its fellow members.
     """
+    above = sets.groupBy("vid").agg(F.sum(F.bitmap_count("bits")).alias("impact"))
     if comps is None:
-        return reach.groupBy(F.col("b").alias("vid")).agg(F.count(F.lit(1)).alias("impact"))
+        return above
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    above = (reach.select("a", "b")
-             .join(sizes.select(F.col("comp").alias("a"), "members"), "a", "left")
-             .groupBy(F.col("b").alias("comp")).agg(F.sum(F.coalesce("members", F.lit(1))).alias("above")))
-    alone = above.join(sizes, "comp", "left_anti").select(F.col("comp").alias("vid"), F.col("above").alias("impact"))
-    grouped = (comps.join(sizes, "comp").join(above, "comp", "left")
-               .select("vid", (F.coalesce("above", F.lit(0)) + F.col("members") - 1).alias("impact")))
-    return alone.unionByName(grouped)
+    above = above.withColumnRenamed("vid", "comp")
+    alone = above.join(sizes, "comp", "left_anti").select(F.col("comp").alias("vid"), "impact")
+    inside, groups = write_table(sizes.join(above, "comp", "left").select(
+        "comp", (F.coalesce("impact", F.lit(0)) + F.col("members") - 1).alias("impact")), "impact")
+    return alone.unionByName(attach(comps, inside, ["comp"], "inner", groups).select("vid", "impact"))
 
 
 def node_metrics(vertices: DataFrame, arcs: DataFrame, impacts: DataFrame, depths: DataFrame,

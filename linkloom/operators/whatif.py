@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from linkloom.operators import compare
 from linkloom.operators.graph import Graph, graph_from_arcs
-from linkloom.operators.iterate import closure, condense, reach_from, union_all
+from linkloom.operators.iterate import Ancestors, bits_of, bucket_of, component_arcs, member_bits, reach_from, union_all
 from linkloom.operators.metrics import cycle_members, impact
 from linkloom.operators.ranking import top_per_group
-from linkloom.store import attach, materialize
+from linkloom.store import attach, materialize, write_table
 
 
 @dataclass(frozen=True)
@@ -169,21 +169,71 @@ class Recount:
     comps: DataFrame | None
     impacts: DataFrame   # repo, id, impact
     cycles: DataFrame
+    above: Ancestors | None = None
 
 
 def recount(nodes: DataFrame, edges: DataFrame) -> Recount:
     """Cycles and impact of a graph as it stands, without reduction."""
-    from linkloom.plans.build import find_components
+    from linkloom.plans.build import ancestors, find_components
     ends = nodes.select("repo", "id")
     rows = ends.count()
     inner = attach(edges, ends.withColumnRenamed("id", "source"), ["repo", "source"], "left_semi", rows)
     inner = attach(inner, ends.withColumnRenamed("id", "target"), ["repo", "target"], "left_semi", rows)
     g = graph_from_arcs(inner, ends)
     peeled, comps = find_components(g.pairs)
-    shut = closure(g.pairs if peeled.acyclic else condense(g.pairs, comps))
-    table = (g.vertices.join(impact(shut.reach, comps), "vid", "left")
+    above, _ = ancestors(g.pairs, peeled, comps)
+    table = (g.vertices.join(impact(above.sets, comps), "vid", "left")
              .select("repo", "id", F.coalesce("impact", F.lit(0)).alias("impact")))
-    return Recount(g, comps, materialize(table, "impact"), cycle_members(g.vertices, g.arcs, comps))
+    return Recount(g, comps, materialize(table, "impact"), cycle_members(g.vertices, g.arcs, comps), above)
+
+
+def recount_removal(old: Recount, gone_nodes: DataFrame | None = None, gone_edges: DataFrame | None = None) -> Recount:
+    """What ``recount`` gives without nodes ``(repo, id)`` and edges ``(repo, source, target)``, by difference.
+
+    Only what a removed edge led to can lose a cycle or something that reaches it: the targets of removed edges, and what
+    is below them. These vertices are counted anew, from the arcs among them and from what is known of the vertices that
+    point to them from outside; all others keep their counts. Vertex numbers stay as they were.
+    """
+    from linkloom.plans.build import ancestors, find_components
+    if old.above is None:
+        raise ValueError("the count before has no sets of ancestors")
+    g = old.graph
+    none = g.vertices.where("false").select("vid")
+    gone, n_gone = (none, 0) if gone_nodes is None else write_table(
+        g.vertices.join(gone_nodes.select("repo", "id").distinct(), ["repo", "id"], "left_semi").select("vid"), "gone")
+    ends = [attach(g.arcs, gone.select(F.col("vid").alias(end)), [end], "left_semi", n_gone) for end in ("src", "dst")]
+    if gone_edges is not None:
+        ends.append(g.arcs.join(gone_edges.select("repo", "source", "target").distinct(), ["repo", "source", "target"], "left_semi"))
+    cut, n_cut = write_table(union_all(ends).select("src", "dst").distinct(), "cut")
+    arcs = materialize(attach(g.arcs, cut, ["src", "dst"], "left_anti", n_cut), "kept")
+    vertices = attach(g.vertices, gone, ["vid"], "left_anti", n_gone)
+    pairs = arcs.select("src", "dst")
+    seeds = attach(cut.select(F.col("dst").alias("vid")).distinct(), gone, ["vid"], "left_anti", n_gone)
+    touched, n_touched = write_table(reach_from(pairs, seeds.withColumn("seed", F.lit(0))).select("vid"), "touched")
+
+    into = attach(pairs, touched.withColumnRenamed("vid", "dst"), ["dst"], "left_semi", n_touched)
+    into = materialize(attach(into, touched.select(F.col("vid").alias("src"), F.lit(True).alias("_in")), ["src"], "left", n_touched), "into")
+    inside = into.where("_in").select("src", "dst")
+    peeled, comps = find_components(inside)
+    border = into.where("_in is null").select("src", "dst")
+    heads = component_arcs(border, comps).select(F.col("cd").alias("vid"), "src")
+    known = heads.join(old.comps.select(F.col("vid").alias("src"), "comp"), "src", "left") if old.comps is not None \
+        else heads.withColumn("comp", F.lit(None).cast("bigint"))
+    known = materialize(known.select("vid", F.coalesce("comp", "src").alias("up"), F.col("comp").isNotNull().alias("many")).distinct(), "border")
+    sets = [known.where("not many").groupBy("vid", bucket_of("up")).agg(bits_of("up").alias("bits")),
+            known.join(old.above.sets.select(F.col("vid").alias("up"), "bucket", "bits"), "up").select("vid", "bucket", "bits")]
+    if old.comps is not None:
+        sets.append(known.where("many").join(member_bits(old.comps).withColumnRenamed("comp", "up"), "up").select("vid", "bucket", "bits"))
+    above, _ = ancestors(inside, peeled, comps, union_all(sets))
+    counted = touched.join(impact(above.sets, comps), "vid", "left").select("vid", F.coalesce("impact", F.lit(0)).alias("_new"))
+    now = vertices.join(counted, "vid", "left").join(old.impacts, ["repo", "id"]) \
+        .select("repo", "id", F.coalesce("_new", "impact").alias("impact"))
+    if old.comps is not None:
+        apart = attach(attach(old.comps, touched, ["vid"], "left_anti", n_touched), gone, ["vid"], "left_anti", n_gone)
+        comps = apart if comps is None else apart.unionByName(comps)
+        comps = materialize(comps, "components")
+    kept = Graph(vertices, arcs)
+    return Recount(kept, comps, materialize(now, "impact"), cycle_members(vertices, arcs, comps))
 
 
 def impact_changes(old: DataFrame, new: DataFrame, n: int | None = None) -> DataFrame:
@@ -224,4 +274,4 @@ def statistics(old_nodes: DataFrame, old_edges: DataFrame, change: Change, old_c
 
 
 __all__ = ["Change", "Recount", "remove", "merge", "merge_targets", "propose_split", "split", "newly_orphaned",
-           "recount", "impact_changes", "unreachable", "statistics"]
+           "recount", "recount_removal", "impact_changes", "unreachable", "statistics"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linkloom.operators import metrics as M
 from linkloom.operators.graph import Graph
 from linkloom.operators.iterate import (
-    closure, component_arcs, components, condense, peel, redundant_arcs, redundant_between_components,
+    Ancestors, ancestor_sets, component_arcs, components, condense, peel, redundant_arcs, redundant_between_components,
 )
 from linkloom.store import materialize
 
@@ -20,7 +20,7 @@ class Build:
     graph: Graph                 # as given
     reduced: Graph               # after reduction, on the same vertices
     comps: DataFrame | None      # vid, comp of the reduced graph
-    reach: DataFrame             # a, b, dist between components of the reduced graph
+    above: Ancestors             # what reaches each component of the reduced graph
     metrics: DataFrame           # per node, independent of display filters
     nodes: DataFrame             # metrics + reach_pct, risk
     edges: DataFrame             # reduced arcs + is_cycle, weight
@@ -54,23 +54,31 @@ def find_components(pairs: DataFrame):
     return peeled, comps
 
 
+def ancestors(pairs: DataFrame, peeled, comps: DataFrame | None, known: DataFrame | None = None) -> tuple[Ancestors, DataFrame]:
+    """What reaches each component of a graph (and ``known`` above it, see ``ancestor_sets``), and the levels of these."""
+    dag = pairs if peeled.acyclic else materialize(condense(pairs, comps), "condensed")
+    levels = materialize((peeled if peeled.acyclic else peel(dag)).levels, "levels")
+    return ancestor_sets(dag, levels, comps, known), levels
+
+
 def reduce_graph(graph: Graph, mode: str | None = "exact"):
     """The graph without redundant arcs, plus what was learned about the input on the way."""
     pairs = graph.pairs
     peeled, comps = find_components(pairs)
+    above, levels = ancestors(pairs, peeled, comps)
     if mode is None:
-        return graph, peeled, comps, None
-    shut = closure(pairs if peeled.acyclic else condense(pairs, comps))
+        return graph, peeled, comps, above, levels
+    bypassed = above.bypassed()
     if peeled.acyclic:
-        gone = shut.bypassed
+        gone = bypassed
     elif mode == "exact":
-        gone = redundant_arcs(pairs, comps, shut.bypassed)
+        gone = redundant_arcs(pairs, comps, bypassed)
     elif mode == "condensed":
-        gone = redundant_between_components(pairs, comps, shut.bypassed)
+        gone = redundant_between_components(pairs, comps, bypassed)
     else:
         raise ValueError(f"unknown reduction mode: {mode}")
     arcs = materialize(graph.arcs.join(gone, ["src", "dst"], "left_anti").select(graph.arcs.columns), "reduced")
-    return Graph(graph.vertices, arcs), peeled, comps, shut
+    return Graph(graph.vertices, arcs), peeled, comps, above, levels
 
 
 def member_levels(levels: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -84,24 +92,19 @@ def member_levels(levels: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 def build(graph: Graph, reduce: str | None = "exact", hide_isolated: bool = False,
           filter_dir: str = "") -> Build:
-    reduced, peeled, comps, shut = reduce_graph(graph, reduce)
-    pairs = reduced.pairs
+    reduced, peeled, comps, above, levels = reduce_graph(graph, reduce)
     if reduce == "exact" and comps is not None:
         # The exact rule may open cycles. What remains of them lies inside the old components.
+        pairs = reduced.pairs
         inside = component_arcs(pairs, comps).where("cs = cd").select("src", "dst")
         comps = components(pairs, materialize(inside, "inside"))
         comps = None if comps is None else materialize(comps, "components")
-        shut = None
-    # On an acyclic graph, and between whole components, reduction keeps reachability and
-    # longest chains: both are reused.
-    dag = pairs if peeled.acyclic else materialize(condense(pairs, comps), "condensed")
-    if shut is None:
-        shut = closure(dag)
-    levels = peeled.levels if peeled.acyclic else peel(dag).levels
+        above, levels = ancestors(pairs, peeled, comps)
+    # On an acyclic graph, and between whole components, reduction keeps reachability and longest chains.
     table = materialize(
-        M.node_metrics(reduced.vertices, reduced.arcs, M.impact(shut.reach, comps), member_levels(levels, comps), comps),
+        M.node_metrics(reduced.vertices, reduced.arcs, M.impact(above.sets, comps), member_levels(levels, comps), comps),
         "metrics")
-    out = Build(graph, reduced, comps, shut.reach, table, table, table)
+    out = Build(graph, reduced, comps, above, table, table, table)
     return display(out, hide_isolated, filter_dir)
 
 
@@ -110,7 +113,7 @@ def display(b: Build, hide_isolated: bool = False, filter_dir: str = "") -> Buil
     nodes, _ = M.display_nodes(b.metrics, b.reduced.arcs, hide_isolated, filter_dir)
     nodes = materialize(nodes, "nodes")
     edges = materialize(M.display_edges(b.reduced.arcs, b.comps, nodes, b.metrics, bool(filter_dir)), "edges")
-    return Build(b.graph, b.reduced, b.comps, b.reach, b.metrics, nodes, edges, hide_isolated, filter_dir)
+    return Build(b.graph, b.reduced, b.comps, b.above, b.metrics, nodes, edges, hide_isolated, filter_dir)
 
 
-__all__ = ["Build", "build", "display", "reduce_graph", "find_components"]
+__all__ = ["Build", "ancestors", "build", "display", "reduce_graph", "find_components"]

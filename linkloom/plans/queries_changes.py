@@ -145,13 +145,17 @@ ic AS MATERIALIZED (SELECT n2.id AS file, coalesce(i1.c, 0)::BIGINT AS old_impac
   WHERE coalesce(i1.c, 0) <> coalesce(i2.c, 0))"""
 
 
+def removed(spark, sf):
+    """The nodes and edges to remove."""
+    gone = V.table(spark, sf, "supplier").where("s_acctbal < 0").select(
+        F.lit("fk").alias("repo"), F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("id"))
+    return gone, _old(spark, sf)[1].where("source like 'customer/%' and target = 'region/1'")
+
+
 def removal(spark, sf):
     def make():
         nodes, edges = _old(spark, sf)
-        gone = V.table(spark, sf, "supplier").where("s_acctbal < 0").select(
-            F.lit("fk").alias("repo"), F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("id"))
-        cut = edges.where("source like 'customer/%' and target = 'region/1'")
-        c = X.remove(nodes, edges, gone, cut)
+        c = X.remove(nodes, edges, *removed(spark, sf))
         return X.Change(V.materialize(c.nodes, "whatif"), V.materialize(c.edges, "whatif"), V.materialize(c.broken, "whatif"))
     return V.remembered(spark, sf, "removal", make=make)
 
@@ -168,6 +172,11 @@ def after(spark, sf, name, change):
     return V.remembered(spark, sf, "after", name, make=lambda: X.recount(change.nodes, change.edges))
 
 
+def after_removal(spark, sf, view, gone_nodes, gone_edges=None):
+    return V.remembered(spark, sf, "after removal", view,
+                        make=lambda: X.recount_removal(before(spark, sf, view), gone_nodes, gone_edges))
+
+
 @query("removal_edges_fk", "J21", O.sql(_REMOVE, "SELECT source, target, count(*)::BIGINT AS copies FROM e2 GROUP BY 1, 2"))
 def removal_edges(spark, sf):
     return removal(spark, sf).edges.select("source", "target", "copies")
@@ -194,13 +203,13 @@ def newly_orphaned(spark, sf):
 
 @query("removal_impact_changes_fk", "J26 T7", O.sql(_REMOVE + _IMPACTS, "SELECT * FROM ic ORDER BY abs(delta) DESC, file LIMIT 30"))
 def removal_impact_changes(spark, sf):
-    new = after(spark, sf, "removal", removal(spark, sf))
+    new = after_removal(spark, sf, "fk", *removed(spark, sf))
     return X.impact_changes(before(spark, sf, "fk").impacts, new.impacts, 30).drop("repo")
 
 
 @query("removal_impact_all_changes_fk", "J26", O.sql(_REMOVE + _IMPACTS, "SELECT * FROM ic"))
 def removal_impact_all(spark, sf):
-    new = after(spark, sf, "removal", removal(spark, sf))
+    new = after_removal(spark, sf, "fk", *removed(spark, sf))
     return X.impact_changes(before(spark, sf, "fk").impacts, new.impacts).drop("repo")
 
 
@@ -212,7 +221,7 @@ SELECT (SELECT count(*) FROM n)::BIGINT AS original_node_count, (SELECT count(*)
 def removal_statistics(spark, sf):
     nodes, edges = _old(spark, sf)
     c = removal(spark, sf)
-    return X.statistics(nodes, edges, c, before(spark, sf, "fk").cycles, after(spark, sf, "removal", c), "removal").drop("repo")
+    return X.statistics(nodes, edges, c, before(spark, sf, "fk").cycles, after_removal(spark, sf, "fk", *removed(spark, sf)), "removal").drop("repo")
 
 
 # Every state of the event type ``error`` goes: cycles through it break up.
@@ -224,11 +233,8 @@ g1 AS (SELECT comp, string_agg(id, ';' ORDER BY id) AS members, count(*) AS size
 g2 AS (SELECT comp, string_agg(id, ';' ORDER BY id) AS members, count(*) AS size FROM s2 GROUP BY 1)"""
 
 
-def no_errors(spark, sf):
-    def make():
-        g = V.graph_of(spark, sf, "flow")
-        return X.remove(g.vertices, g.arcs.select("repo", "source", "target", "copies"), g.vertices.where("id like '%/error'"))
-    return V.remembered(spark, sf, "noerr", make=make)
+def without_errors(spark, sf):
+    return after_removal(spark, sf, "flow", V.graph_of(spark, sf, "flow").vertices.where("id like '%/error'"))
 
 
 @query("cycles_resolved_flow", "J27 U3", O.sql(_NOERR, """
@@ -236,7 +242,7 @@ SELECT comp AS cycle_id, size::BIGINT AS size, 'resolved' AS change FROM g1 WHER
 UNION ALL SELECT comp, size, 'introduced' FROM g2 WHERE members NOT IN (SELECT members FROM g1)"""))
 def cycles_resolved(spark, sf):
     old = before(spark, sf, "flow").cycles
-    new = after(spark, sf, "noerr", no_errors(spark, sf)).cycles
+    new = without_errors(spark, sf).cycles
     return D.only_in(old, new).withColumn("change", F.lit("resolved")) \
         .unionByName(D.only_in(new, old).withColumn("change", F.lit("introduced"))).drop("repo")
 
@@ -247,7 +253,7 @@ SELECT n2.id AS file, coalesce(i1.c, 0)::BIGINT AS old_impact, coalesce(i2.c, 0)
   (coalesce(i2.c, 0) - coalesce(i1.c, 0))::BIGINT AS delta FROM n2 LEFT JOIN i1 ON i1.id = n2.id LEFT JOIN i2 ON i2.id = n2.id
   WHERE coalesce(i1.c, 0) <> coalesce(i2.c, 0) ORDER BY abs(delta) DESC, file LIMIT 30"""))
 def removal_impact_changes_flow(spark, sf):
-    new = after(spark, sf, "noerr", no_errors(spark, sf))
+    new = without_errors(spark, sf)
     return X.impact_changes(before(spark, sf, "flow").impacts, new.impacts, 30).drop("repo")
 
 

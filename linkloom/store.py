@@ -94,6 +94,32 @@ class Rounds:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
 
+class Shelves:
+    """A table that is written piece by piece and read shelf by shelf: the rows of one value of column ``by``.
+
+    A loop that hands rows on to later rounds writes each once and reads each once.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, by: str):
+        self.spark, self.by, self.path, self.schema = spark, by, _new_path(spark, label), None
+
+    def put(self, df: DataFrame) -> None:
+        self.schema = df.drop(self.by).schema
+        df.write.mode("append").partitionBy(self.by).parquet(self.path)
+
+    def _read(self, at: str) -> DataFrame:
+        held = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        if not held.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(held):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(at)
+
+    def take(self, value) -> DataFrame:
+        return self._read(f"{self.path}/{self.by}={value}")
+
+    def all(self) -> DataFrame:
+        return self._read(self.path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for CPU-heavy work on a small input.
 
@@ -167,5 +193,5 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", r
     return balanced_join(big, small, on, how, hot_keys(big.select(*on), on))
 
 
-__all__ = ["BROADCAST_ROWS", "HOT_ROWS", "HotKeys", "Rounds", "attach", "balanced_join", "discard", "hot_keys",
+__all__ = ["BROADCAST_ROWS", "HOT_ROWS", "HotKeys", "Rounds", "Shelves", "attach", "balanced_join", "discard", "hot_keys",
            "materialize", "scratch_root", "spread", "write_table"]
