@@ -135,9 +135,11 @@ def sliding_limit_batch(spark, sf):
     return sliding_limit(_events(spark, sf), "user_id", "ts", "event_id", 3, 86400).select("event_id", "accepted")
 
 
-@query("sliding_limit_stream", "ST4", O.sql(_LIMIT, "SELECT event_id, accepted FROM a"))
+@query("sliding_limit_stream", "ST4", O.sql(_LIMIT, """
+SELECT a.event_id, accepted, FALSE AS late FROM a JOIN o USING (event_id) WHERE us < (SELECT max(us) // 1000 * 1000 FROM o) - 3600000000"""))
 def sliding_limit_streamed(spark, sf):
-    return _run(spark, limit_stream(_stream(spark, sf), "user_id", "ts", 3, 86400), _ROCKS).select("event_id", "accepted")
+    """Only events that the watermark has passed are decided."""
+    return _run(spark, limit_stream(_stream(spark, sf), "user_id", "ts", 3, 86400), _ROCKS).select("event_id", "accepted", "late")
 
 
 @query("refresh_edges", "ST2", T.edges_sql("py"))
