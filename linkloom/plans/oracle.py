@@ -63,7 +63,7 @@ st AS MATERIALIZED (
   FROM events),
 e AS MATERIALIZED (
   SELECT * FROM (SELECT state AS source,
-                        lead(state) OVER (PARTITION BY user_id, span ORDER BY ts, event_id) AS target FROM st)
+                        lead(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM st)
   WHERE target IS NOT NULL),
 n AS MATERIALIZED (SELECT DISTINCT state AS id FROM st)
 """

@@ -238,14 +238,15 @@ def tree_upward(spark, sf):
         .select("root", "id", "dist", F.col("parent_id").alias("parent"))
 
 
+# A user has ten spans of five states, so no shortest way is longer than 50.
 @query("forest_flow", "G12", O.sql(O.metrics("flow") + """,
 tops AS MATERIALIZED (SELECT id FROM m WHERE in_degree = 0),
-walk(id, k) AS (SELECT id, 0 FROM tops UNION SELECT rd.target, k + 1 FROM walk JOIN rd ON rd.source = walk.id WHERE k < 8),
+walk(id, k) AS (SELECT id, 0 FROM tops UNION SELECT rd.target, k + 1 FROM walk JOIN rd ON rd.source = walk.id WHERE k < 50),
 near AS MATERIALIZED (SELECT id, min(k) AS dist FROM walk GROUP BY 1),
 firsts AS (SELECT c.id, min(p.id) AS parent FROM near c JOIN rd ON rd.target = c.id
            JOIN near p ON p.id = rd.source AND p.dist = c.dist - 1 GROUP BY 1)""", """
 SELECT rd.source AS parent, rd.target AS child, (p.dist + 1)::BIGINT AS dist, coalesce(f.parent = rd.source, FALSE) AS first
-FROM rd JOIN near p ON p.id = rd.source AND p.dist < 8 LEFT JOIN firsts f ON f.id = rd.target
+FROM rd JOIN near p ON p.id = rd.source LEFT JOIN firsts f ON f.id = rd.target
 UNION ALL SELECT NULL, id, 0, TRUE FROM tops"""))
 def forest_flow(spark, sf):
     b = V.build_of(spark, sf, "flow")

@@ -94,8 +94,8 @@ def flow_steps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flow_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Consecutive events of a user inside a span; repeats and self-loops are kept."""
-    w = Window.partitionBy("user_id", "span").orderBy("ts", "event_id")
+    """Consecutive events of a user, over the whole history; repeats and self-loops are kept."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     stepped = flow_steps(spark, sf).withColumn("next", F.lead("state").over(w)).where("next is not null")
     return _arc(stepped, "flow", F.col("state"), F.col("next"))
 
