@@ -222,9 +222,9 @@ WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM d),
-i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS at FROM p),
-g AS (SELECT lang, k, array_to_string(ws[at:at + k - 1], ' ') AS phrase
-      FROM i, range(1, 6) AS t(k) WHERE at + k - 1 <= len(ws)),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS j FROM p),
+g AS (SELECT lang, k, array_to_string(ws[j:j + k - 1], ' ') AS phrase
+      FROM i, range(1, 6) AS t(k) WHERE j + k - 1 <= len(ws)),
 c AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
 total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
 split AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM c WHERE k > 1),
