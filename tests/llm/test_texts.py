@@ -104,6 +104,17 @@ def test_secrets_against_a_plain_scan(spark, docs):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_in_letters_of_either_case(spark):
+    texts = ["pa\u017f\u017fword=hunter22", "TO\u212aEN: abcdefgh", "ap\u0131_key=abcdefgh", "AP\u0130KEY=abcdefgh", "token=abc\u017f\u212aef g",
+             "\u017fecret='ab", "a\u212aIAABCDEFGHIJKLMNOP1", "to\u0138en=abcdefgh"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    pattern = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    for r in secrets.scan(df).collect():
+        want = [(m.start(), 0, m.end()) for m in re.finditer(pattern, r["text"], re.IGNORECASE) if len(m[2]) >= 6]
+        assert [tuple(x) for x in r["secrets"]] == want
+        assert len(want) == (r["doc_id"] < 5)
+
+
 def test_main_text(spark):
     page = """<!doctype html><html><head><title>No</title><script>if (a < b) "</p>"</script></head><body>
       <nav><ul><li><a href=/>Home</a></li></ul></nav><div class="ad">Buy &amp; save.</div>
