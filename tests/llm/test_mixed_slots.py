@@ -51,3 +51,20 @@ def test_ranges_carry_their_offsets_and_rows_without_order_come_last(spark, monk
         assert [r["slot"] for r in mine] == list(range(len(mine)))
         at = [r["at"] if r["at"] is not None else 10**9 for r in mine]
         assert at == sorted(at)
+
+
+def test_texts_move_once_at_most_on_their_way_to_shards(spark, monkeypatch):
+    """Clashing columns, repeated rows and null ids stay as they are; only one exchange holds texts."""
+    from collections import Counter
+
+    from linkloom import store
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 10)  # the join shuffles, as on a large table
+    rows = [(i if i % 50 else None, f"text {i % 90}", f"s{i % 4}", "x", i) for i in range(600)] + [(7, "text 7", "s3", "x", 7)] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, shard string, position int")
+    got = corpus_pipeline.deal_to_shards(spark, docs, "")
+    assert got.columns == [*docs.columns, "_shard", "slot"]
+    assert Counter(tuple(r)[:5] for r in got.collect()) == Counter(rows)
+    sizes = Counter(r["_shard"] for r in got.collect())
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == corpus_pipeline.SHARDS
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("text#") and len([line for line in plan.splitlines() if "Join" in line]) == 1
