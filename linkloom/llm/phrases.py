@@ -144,15 +144,21 @@ class Half:
     """
 
     def __init__(self, ids: np.ndarray, depth: int):
-        rank, known = ids.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
+        # A shard holds less than 2 ** 31 words: 64 bits are only for the keys of two ranks, which go as soon as they are sorted.
+        rank, known = ids.astype(np.int32), 1
+        order = np.argsort(rank, kind="stable").astype(np.int32)
         while known < depth:
             step = min(known, depth - known)  # a shorter step overlaps with what is known
-            key = rank * (int(rank.max(initial=0)) + 1) + np.roll(rank, -step)
-            order = np.argsort(key, kind="stable")
-            ranked = key[order]
-            rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])[:len(ids)]
+            key = rank.astype(np.int64)
+            key *= int(rank.max(initial=0)) + 1
+            key += np.roll(rank, -step)
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            key = key[order]
+            rank[order[:1]] = 0
+            rank[order[1:]] = np.cumsum(key[1:] != key[:-1], dtype=np.int32)
+            del key
             known += step
+        del rank
         row = np.empty(len(ids), np.int32)
         row[order] = np.arange(len(ids), dtype=np.int32)
         self.first = ids[order]
@@ -170,34 +176,36 @@ class PhraseIndex:
     def __init__(self, ids: np.ndarray, depth: int):
         self.depth = depth
         self.forward, self.backward = Half(ids, depth), Half(np.roll(ids[::-1], -1), depth)
-        self.counts = np.bincount(ids, minlength=1)
+        self.counts = np.bincount(ids, minlength=1).astype(np.int32)
 
     @staticmethod
     def _extended(half: Half, lo: np.ndarray, other: np.ndarray, size: np.ndarray):
         """parent, word, lo, other and size of all intervals one word longer."""
         owner = np.full(len(half.first), -1, np.int32)
-        ends = np.cumsum(size)
-        rows = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - lo, size)
-        owner[rows] = np.repeat(np.arange(len(size)), size)
+        ends = np.cumsum(size, dtype=np.int32)
+        rows = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+        rows -= np.repeat(ends - size - lo, size)
+        owner[rows] = np.repeat(np.arange(len(size), dtype=np.int32), size)
         of = owner[half.after]
-        rows = np.flatnonzero((of >= 0) & (half.first > 0))
+        del owner
+        rows = np.flatnonzero((of >= 0) & (half.first > 0)).astype(np.int32)
         of, word = of[rows], half.first[rows]
-        start = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (word[1:] != word[:-1])])[:len(rows)])
-        parent, count = of[start], np.diff(np.append(start, len(rows)))
+        start = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (word[1:] != word[:-1])])[:len(rows)]).astype(np.int32)
+        parent, count = of[start], np.diff(np.append(start, np.int32(len(rows))))
         # Words come in rising order; within a parent, borders of pieces stand before them all.
         order = np.argsort(parent, kind="stable")
-        inside = np.bincount(parent, count, len(size)).astype(np.int64)
-        before = np.cumsum(count[order]) - count[order] - (np.cumsum(inside) - inside)[parent[order]]
-        beside = np.empty(len(start), np.int64)
+        inside = np.bincount(parent, count, len(size)).astype(np.int32)
+        before = np.cumsum(count[order], dtype=np.int32) - count[order] - (np.cumsum(inside, dtype=np.int32) - inside)[parent[order]]
+        beside = np.empty(len(start), np.int32)
         beside[order] = other[parent[order]] + (size - inside)[parent[order]] + before
         return parent, word[start], rows[start], beside, count
 
     def phrases(self) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
         """For each length from 1 to ``depth``: the words of all phrases, a column per place, and their counts. Lengths are
         reached by extensions to the left and to the right in turn."""
-        words = np.flatnonzero(self.counts[1:]) + 1
+        words = np.flatnonzero(self.counts[1:]).astype(np.int32) + np.int32(1)
         size = self.counts[words]
-        lo = (np.cumsum(self.counts) - self.counts)[words]
+        lo = (np.cumsum(self.counts, dtype=np.int32) - self.counts)[words]
         columns, back = [words], lo
         yield columns, size
         for length in range(2, self.depth + 1):
@@ -215,11 +223,13 @@ class PhraseIndex:
 def _joined_runs(ids: np.ndarray, joined: np.ndarray, least: int) -> np.ndarray:
     """The runs of ``ids`` in which each word is ``joined`` with the next, those of ``least`` words or more, 0 after each."""
     ends = ~joined
-    run = np.cumsum(ends) - ends
-    keep = (ids > 0) & (np.bincount(run, ids > 0)[run] >= least)
+    run = np.cumsum(ends, dtype=np.int32) - ends
+    keep = (ids > 0) & (np.bincount(run[ids > 0], minlength=1 + int(run.max(initial=0)))[run] >= least)
+    del run
     out = np.where(keep, ids, 0)
     last = keep & ends
-    places = np.arange(len(ids)) + np.concatenate([[0], np.cumsum(last)[:-1]])
+    places = np.arange(len(ids), dtype=np.int32)
+    places[1:] += np.cumsum(last[:-1], dtype=np.int32)
     got = np.zeros(len(ids) + int(last.sum()), ids.dtype)
     kept = np.zeros(len(got), bool)
     got[places], kept[places] = out, keep
@@ -280,8 +290,9 @@ def _counts_of(shard_rows: DataFrame, shortest: int, longest: int, frequent: lis
                     ids = np.where(good[ids], ids, 0)
                     joined = (ids > 0) & (np.append(ids[1:], 0) > 0)
                     if len(bits) > 1:
-                        at = np.flatnonzero(joined)
-                        joined[at] = _set_at(bits[1], _followed(hashes[ids[at]], hashes[ids[at + 1]]))
+                        for lo in range(0, len(ids), BATCH):
+                            at = lo + np.flatnonzero(joined[lo:lo + BATCH])
+                            joined[at] = _set_at(bits[1], _followed(hashes[ids[at]], hashes[ids[at + 1]]))
                     ids = _joined_runs(ids, joined, shortest)
                 if not len(ids):
                     continue

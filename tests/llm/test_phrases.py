@@ -122,3 +122,21 @@ def test_packed_rows_hold_all_phrases(monkeypatch):
                     hot = all(heavy[int(w[1:])] for w in r["head"].split())
                     assert r["salt"] == (salts[int(t[1:])] if hot else 0)
         assert got == {" ".join(f"w{i}" for i in p): n for p, n in want.items()}
+
+
+def test_index_of_a_shard_stays_small():
+    """Arrays of an index hold 32 bits a word; only the keys of a sort take more, one at a time."""
+    import tracemalloc
+
+    import numpy as np
+
+    from linkloom.llm.phrases import PhraseIndex
+    ids = np.random.default_rng(5).integers(0, 400, 300_000).astype(np.int32)
+    ids[-1] = 0
+    tracemalloc.start()
+    index = PhraseIndex(ids, 2)
+    total = {len(columns): int(n.sum()) for columns, n in index.phrases()}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == {1: int((ids > 0).sum()), 2: int(((ids[:-1] > 0) & (ids[1:] > 0)).sum())}
+    assert peak < 55 * len(ids), peak / len(ids)
